@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedmill.llm import encoding, packing
+from feedmill.llm import encoding, garbled, packing
 from feedmill.tables import table
 
 
@@ -22,5 +22,14 @@ def p9_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(encoding.encode_documents(table(spark, d, "documents"), counts=True))
 
 
-QUERIES = {"p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_packed": p9_packed}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.find_garbled(table(spark, d, "documents"))
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    """The garbled documents with their text restored."""
+    return garbled.restore(table(spark, d, "documents"))
+
+
+QUERIES = {"p10_found": p10_found, "p10_restored": p10_restored, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_packed": p9_packed}
 ORACLE = {"p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
