@@ -154,8 +154,8 @@ def best_chain(model: Model, segment: str) -> tuple[float, float, str, str]:
         fixed = head + text + tail
         t = [symbol(c) for c in fixed]
         known = not BLOCKS & {*t} and all(model.two[_hash(x + y, BIGRAM_BITS)] >= 3 for x, y in zip(t, t[1:]))
-        # any bytes can be read in a one-byte encoding: only pairs known from clean text count there
-        if not (utf or known):
+        # any bytes can be read in a one-byte encoding, and a few happen to be UTF-8: only pairs known from clean text count there
+        if not known and (not utf or len(text) < 3):
             continue
         gain, margin = model.score(fixed) - now, MARGINS["byte" if not utf else "known" if known else "new"]
         if gain - margin > best[0] - best[1]:
