@@ -5,10 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedmill.llm import encoding, garbled, packing
+from feedmill.llm import encoding, garbled, packing, repeated_lines, residue
 from feedmill.tables import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.find_leftovers(table(spark, d, "items")).withColumnRenamed("id", "item_id")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return repeated_lines.repeated_lines(table(spark, d, "items"))
+
+
+def p4_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """Each item's text without the lines repeated in its source."""
+    return repeated_lines.remove_repeated(table(spark, d, "items")).withColumnRenamed("id", "item_id")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode_documents(table(spark, d, "documents"))
 
@@ -31,5 +44,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return garbled.restore(table(spark, d, "documents"))
 
 
-QUERIES = {"p10_found": p10_found, "p10_restored": p10_restored, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_packed": p9_packed}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_cleaned": p4_cleaned, "p10_found": p10_found, "p10_restored": p10_restored, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_packed": p9_packed}
+_LINES = """SELECT id, source_id, trim(regexp_replace(regexp_replace(lower(x.line), '[0-9]+', '0', 'g'), '[ \\t\\r\\x{a0}]+', ' ', 'g')) AS line
+FROM (SELECT id, source_id, unnest(string_split(text, chr(10))) AS line FROM items WHERE source_id IS NOT NULL) x"""
 ORACLE = {"p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
