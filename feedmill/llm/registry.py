@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedmill.llm import encoding, garbled, packing, repeated_lines, residue
+from feedmill.llm import encoding, garbled, near_duplicates, packing, repeated_lines, residue
 from feedmill.tables import table
 
 
@@ -13,6 +13,20 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.find_leftovers(table(spark, d, "items")).withColumnRenamed("id", "item_id")
 
 
+def _similar_items(spark: SparkSession, d: str) -> near_duplicates.NearDuplicates:
+    articles = residue.keep_articles(table(spark, d, "items").select("id", "text"))
+    return near_duplicates.near_duplicates(articles, "id", words=3, threshold=0.5, least_words=60)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _similar_items(spark, d).pairs().toDF("item_a", "item_b")
+
+
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each item's class of equal texts and its number of links to other classes, by runs of five words and a similarity of 0.8."""
+    return near_duplicates.near_duplicates(table(spark, d, "items"), "id").classes().withColumnRenamed("key", "item_id")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines.repeated_lines(table(spark, d, "items"))
 
@@ -44,7 +58,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return garbled.restore(table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_cleaned": p4_cleaned, "p10_found": p10_found, "p10_restored": p10_restored, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_packed": p9_packed}
+QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p1_found": p1_found, "p4_found": p4_found, "p4_cleaned": p4_cleaned, "p10_found": p10_found, "p10_restored": p10_restored, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_packed": p9_packed}
 _LINES = """SELECT id, source_id, trim(regexp_replace(regexp_replace(lower(x.line), '[0-9]+', '0', 'g'), '[ \\t\\r\\x{a0}]+', ' ', 'g')) AS line
 FROM (SELECT id, source_id, unnest(string_split(text, chr(10))) AS line FROM items WHERE source_id IS NOT NULL) x"""
 ORACLE = {"p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
