@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedmill.llm import encoding, garbled, languages, names, near_duplicates, packing, repeated_lines, residue
+from feedmill.llm import boilerplate, encoding, garbled, languages, names, near_duplicates, packing, repeated_lines, residue
 from feedmill.tables import table
 
 
@@ -41,6 +41,15 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return languages.mislabelled(articles).withColumnRenamed("id", "item_id")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.boilerplate_lines(table(spark, d, "items")).withColumnRenamed("id", "item_id")
+
+
+def p6_main_text(spark: SparkSession, d: str) -> DataFrame:
+    """Each item's text without what stood around the article."""
+    return boilerplate.main_text(table(spark, d, "items")).withColumnRenamed("id", "item_id")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     named = names.mentions(table(spark, d, "enrichment"), table(spark, d, "entities"))
     return names.link_names(named, table(spark, d, "orgs"))
@@ -68,7 +77,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return garbled.restore(table(spark, d, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p1_found": p1_found, "p4_found": p4_found, "p4_cleaned": p4_cleaned, "p10_found": p10_found, "p10_restored": p10_restored, "p5_found": p5_found, "p7_found": p7_found, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_packed": p9_packed}
+QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p1_found": p1_found, "p4_found": p4_found, "p4_cleaned": p4_cleaned, "p10_found": p10_found, "p10_restored": p10_restored, "p5_found": p5_found, "p6_found": p6_found, "p6_main_text": p6_main_text, "p7_found": p7_found, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_packed": p9_packed}
 _LINES = """SELECT id, source_id, trim(regexp_replace(regexp_replace(lower(x.line), '[0-9]+', '0', 'g'), '[ \\t\\r\\x{a0}]+', ' ', 'g')) AS line
 FROM (SELECT id, source_id, unnest(string_split(text, chr(10))) AS line FROM items WHERE source_id IS NOT NULL) x"""
 ORACLE = {"p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
