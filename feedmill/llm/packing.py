@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedmill.session import materialise
+
 CAPACITY = 8192
 OPEN_CONTAINERS = 256
 ROWS_PER_BLOCK = 65536
@@ -62,6 +64,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", siz
     A larger item fills whole containers first and only its rest shares one. Items of size 0, null or
     below have one row with part 0 and no container. Repeated rows are items of their own.
     """
+    # counted and packed from one written table: what made the sizes runs once
+    items = materialise(items.select(id_col, size_col))
     blocks = max(1, math.ceil(items.count() / rows_per_block))
     key_type = items.schema[id_col].dataType.simpleString()
     size = F.greatest(F.coalesce(F.col(size_col).cast("bigint"), F.lit(0)), F.lit(0))
