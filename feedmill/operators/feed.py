@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedmill.functions import text as X
+from feedmill.session import materialise
 
 # A small vocabulary over the tables' prose: facet, term, words that name it. Facet "theme" is asked for as "themes", "region" as "regions".
 VOCABULARY = (
@@ -19,6 +21,7 @@ VOCABULARY = (
     ("region", "south", ("south of",)),
     ("region", "near", ("near", "close to", "outside")),
 )
+_IN_WORD, _NOT_WORD = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]"
 FACET_KEYS = {"theme": "themes", "region": "regions"}
 
 
@@ -26,17 +29,24 @@ def tag(docs: DataFrame, terms=VOCABULARY, id_col: str = "id", text_col: str = "
     """``id_col, facet, term, hits, score``: how often the words of each term stand in a text, as whole words in any case.
 
     ``terms``: facet, term and its aliases of one or two words; a pack has a few hundred, which go into the
-    expression. The score is 0.35 and 0.15 for each hit, at most 1. Only words that are some alias are exploded. Null
+    expression. The score is 0.35 and 0.15 for each hit, at most 1. Two words of an alias may have
+    any characters between them that are no part of a word. Null
     and empty texts have no tags. An alias of several terms counts for each.
     """
     meant: dict[str, list[tuple[str, str]]] = {}
     for facet, term, names in terms:
         for alias in names:
             meant.setdefault(alias.lower(), []).append((facet, term))
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
-    pairs = F.zip_with("words", F.slice("words", 2, 1_000_000_000), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
-    listed = docs.select(F.col(id_col).alias("id"), words.alias("words"))
-    named = listed.select("id", F.explode(F.filter(F.concat("words", pairs), lambda g: g.isin(*meant))).alias("alias"))
+    text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    # a look-ahead at every word start, so that neighbouring and overlapping hits all count; by number of words, as at one place only one alias of a length can stand
+    found = []
+    for length in (1, 2):
+        known = [a.split(" ") for a in meant if len(a.split(" ")) == length]
+        if known:
+            spelled = "|".join(f"{_NOT_WORD}+".join(re.escape(w) for w in ws) for ws in sorted(known))
+            hits = F.regexp_extract_all(text, F.lit(f"(?<!{_IN_WORD})(?=({spelled})(?!{_IN_WORD}))"), F.lit(1))
+            found.append(hits if length == 1 else F.transform(hits, lambda h: F.regexp_replace(h, f"{_NOT_WORD}+", " ")))
+    named = docs.select(F.col(id_col).alias("id"), F.explode(F.concat(*found) if found else F.array().cast("array<string>")).alias("alias"))
     each = F.create_map(*[x for alias, ts in meant.items() for x in (F.lit(alias), F.array(*[F.struct(F.lit(f).alias("facet"), F.lit(t).alias("term")) for f, t in ts]))])
     hits = named.groupBy("id", "alias").agg(F.count("*").alias("n")).select("id", "n", F.explode(each[F.col("alias")]).alias("t")).groupBy("id", "t.facet", "t.term").agg(F.sum("n").alias("hits"))
     return hits.select(F.col("id").alias(id_col), "facet", "term", "hits", F.least(F.lit(1.0), F.round(0.35 + 0.15 * F.col("hits"), 2)).alias("score"))
@@ -116,6 +126,7 @@ def feed_rows(items: DataFrame, sources: DataFrame, enrichment: DataFrame) -> Da
 
 def facet_counts(rows: DataFrame, tags: DataFrame, narrowed: Filter) -> DataFrame:
     """``facet, term, n``: the rows under each term, for each facet counted without its own selection."""
+    tags = materialise(tags)  # every facet reads them twice
     parts = []
     for facet, key in FACET_KEYS.items():
         kept = narrowed.without(key).apply(rows, tags).select("id")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
+#: Query terms up to this number are compared in place; beyond it they are joined.
+MOST_TERMS = 10_000
 
 
 def tokens(text: Column) -> Column:
@@ -23,14 +25,22 @@ def bm25(docs: DataFrame, queries: DataFrame, weights: dict[str, float], id_col:
     """
     named = queries.select("query", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
     sizes = named.groupBy("query").agg(F.count("*").alias("terms"))
-    lists = {c: tokens(F.col(c)) for c in weights}
-
-    def weighted_terms(words: Column, weight: float) -> Column:
-        return F.transform(words, lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("w")))
-
-    sized = docs.select(F.col(id_col).alias("id"), sum(F.size(x) for x in lists.values()).alias("length"), F.flatten(F.array(*[weighted_terms(lists[c], w) for c, w in weights.items()])).alias("all"))
+    lists = [tokens(F.col(c)) for c in weights]
+    split = docs.select(F.col(id_col).alias("id"), *[words.alias(f"w{k}") for k, words in enumerate(lists)])
+    ends, bounds = F.lit(0), []
+    for k in range(len(lists)):
+        ends = ends + F.size(f"w{k}")
+        bounds.append(ends)
+    # the place of a word in all columns' words tells its column, and thereby its weight
+    weight = F.lit(None).cast("double")
+    for k, w in reversed(list(enumerate(weights.values()))):
+        weight = F.when(F.col("place") < F.col(f"end{k}"), float(w)).otherwise(weight)
+    sized = split.select("id", ends.alias("length"), *[b.alias(f"end{k}") for k, b in enumerate(bounds)], F.concat(*[f"w{k}" for k in range(len(lists))]).alias("all"))
     whole = sized.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    found = sized.select("id", "length", F.explode("all").alias("t")).select("id", "length", "t.term", "t.w").join(named.select("term").distinct(), "term", "left_semi")
+    found = sized.select("id", "length", *[f"end{k}" for k in range(len(lists))], F.posexplode("all").alias("place", "term")).select("id", "length", "term", weight.alias("w"))
+    asked = [r.term for r in named.select("term").distinct().limit(MOST_TERMS + 1).collect()]
+    # few terms go into the scan's expression, so that the other words never move; many are a join
+    found = found.where(F.col("term").isin(asked)) if len(asked) <= MOST_TERMS else found.join(named.select("term").distinct(), "term", "left_semi")
     postings = found.groupBy("term", "id").agg(F.sum("w").alias("f"), F.first("length").alias("length"))
     spread = postings.groupBy("term").agg(F.count("*").alias("df"))
     # the totals are one row, whatever the corpus

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from feedmill.functions import text as X
 from feedmill.operators import dedup, feed, search, simhash
-from feedmill.tables import table
+from feedmill.session import materialise
+from feedmill.tables import spread, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -24,11 +25,11 @@ def query(sql: str | None = None):
 
 
 def _rows(spark: SparkSession, d: str) -> DataFrame:
-    return feed.feed_rows(table(spark, d, "items"), table(spark, d, "sources"), table(spark, d, "enrichment"))
+    return feed.feed_rows(spread(table(spark, d, "items")), table(spark, d, "sources"), table(spark, d, "enrichment"))
 
 
 def _tags(spark: SparkSession, d: str) -> DataFrame:
-    return feed.tag(table(spark, d, "items"))
+    return feed.tag(spread(table(spark, d, "items")))
 
 
 _VOCABULARY_SQL = ", ".join(f"('{f}', '{t}', '{a}')" for f, t, names in feed.VOCABULARY for a in names)
@@ -188,7 +189,7 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
  SELECT query, id, round(sum(part), 9) AS score FROM (SELECT query, id, 1.0 / (60 + rank) AS part FROM ranked WHERE rank <= 100 UNION ALL SELECT query, id, 1.0 / (60 + rank) FROM newest WHERE rank <= 100) GROUP BY query, id""")
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     """Keyword rank and recency of the hits, fused."""
-    hits = _keyword(spark, d)
+    hits = materialise(_keyword(spark, d))  # read by both lists
     times = table(spark, d, "items").select("id", F.unix_micros(F.col("fetched_at").cast("timestamp")).alias("seen_at"))
     fused = search.fuse(search.top(hits, 100), search.top(hits.join(times, "id"), 100, score="seen_at"))
     return fused.select("query", "id", F.round("score", 9).alias("score"))
@@ -198,7 +199,7 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
   SELECT b, sum(CASE WHEN (h >> b) & 1 = 1 THEN 1 ELSE -1 END) AS votes FROM (SELECT unnest(list_transform(range(1, len(w) - 1), lambda i: ('0x' || substr(md5(w[i] || ' ' || w[i+1] || ' ' || w[i+2]), 1, 16))::UBIGINT)) AS h) g, range(64) r(b) GROUP BY b) v) END AS simhash
  FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents) d""")
 def simhash64(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.coalesce(simhash.simhash64("text"), F.lit(0)).alias("simhash"))
+    return spread(table(spark, d, "documents")).select("doc_id", F.coalesce(simhash.simhash64("text"), F.lit(0)).alias("simhash"))
 
 
 @query("""SELECT x.id AS a, y.id AS b, bit_count(xor(x.simhash, y.simhash))::INT AS distance FROM items x JOIN items y ON x.id < y.id AND x.simhash <> 0 AND y.simhash <> 0 AND bit_count(xor(x.simhash, y.simhash)) <= 6""")
@@ -210,7 +211,7 @@ def similar_fingerprints(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def dedup_cascade(spark: SparkSession, d: str) -> DataFrame:
     """Which items an ingest in the order of their ids would keep."""
-    rows = table(spark, d, "items").select("id", "url_key", "doi", "source_id", "title", X.word_count(F.col("text")).alias("words"), F.coalesce(simhash.simhash64("text"), F.lit(0)).alias("simhash"))
+    rows = spread(table(spark, d, "items")).select("id", "url_key", "doi", "source_id", "title", X.word_count(F.col("text")).alias("words"), F.coalesce(simhash.simhash64("text"), F.lit(0)).alias("simhash"))
     return dedup.cascade(rows)
 
 
@@ -237,7 +238,7 @@ _HITS_SQL = ", ".join(f"len(list_filter(w, lambda x: list_contains({[*dict.fromk
  WHEN len(w) >= 25 AND -ranked[1].n >= 4 AND ranked[2].n - ranked[1].n >= 2 THEN ranked[1].code ELSE 'en' END AS detected FROM r""")
 def detect_language(spark: SparkSession, d: str) -> DataFrame:
     """The language of each document by scripts and function words."""
-    return table(spark, d, "documents").select("doc_id", X.detect_language(F.col("text")).alias("detected"))
+    return spread(table(spark, d, "documents")).select("doc_id", X.detect_language(F.col("text")).alias("detected"))
 
 
 @query(f"""WITH {_ROWS_SQL}, m AS (SELECT rows.*, CASE WHEN json_valid(i.meta) THEN TRY_CAST(json_extract_string(i.meta, '$.citations') AS DOUBLE) END AS cites, date_diff('day', seen_at::DATE, DATE '2026-06-01') AS age FROM rows JOIN items i USING (id))

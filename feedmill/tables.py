@@ -7,3 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores for costly work on each row, where it comes from fewer files than there are cores; else as it is.
+
+    A file of one row group is one task however many cores there are. Rows go by the hash of the first column, the key.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, df.columns[0]) if len(df.inputFiles()) < cores else df
