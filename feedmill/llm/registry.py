@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedmill.llm import boilerplate, encoding, garbled, languages, names, near_duplicates, packing, repeated_lines, residue
-from feedmill.tables import table
+from feedmill.tables import spread, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return residue.find_leftovers(table(spark, d, "items")).withColumnRenamed("id", "item_id")
+    return residue.find_leftovers(spread(table(spark, d, "items"))).withColumnRenamed("id", "item_id")
 
 
 def _similar_items(spark: SparkSession, d: str) -> near_duplicates.NearDuplicates:
-    articles = residue.keep_articles(table(spark, d, "items").select("id", "text"))
+    articles = residue.keep_articles(spread(table(spark, d, "items")).select("id", "text"))
     return near_duplicates.near_duplicates(articles, "id", words=3, threshold=0.5, least_words=60)
 
 
@@ -24,20 +24,20 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_classes(spark: SparkSession, d: str) -> DataFrame:
     """Each item's class of equal texts and its number of links to other classes, by runs of five words and a similarity of 0.8."""
-    return near_duplicates.near_duplicates(table(spark, d, "items"), "id").classes().withColumnRenamed("key", "item_id")
+    return near_duplicates.near_duplicates(spread(table(spark, d, "items")), "id").classes().withColumnRenamed("key", "item_id")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return repeated_lines.repeated_lines(table(spark, d, "items"))
+    return repeated_lines.repeated_lines(spread(table(spark, d, "items")))
 
 
 def p4_cleaned(spark: SparkSession, d: str) -> DataFrame:
     """Each item's text without the lines repeated in its source."""
-    return repeated_lines.remove_repeated(table(spark, d, "items")).withColumnRenamed("id", "item_id")
+    return repeated_lines.remove_repeated(spread(table(spark, d, "items"))).withColumnRenamed("id", "item_id")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    articles = residue.keep_articles(table(spark, d, "items").select("id", "text", "lang", "url"))
+    articles = residue.keep_articles(spread(table(spark, d, "items")).select("id", "text", "lang", "url"))
     return languages.mislabelled(articles).withColumnRenamed("id", "item_id")
 
 
@@ -47,7 +47,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_main_text(spark: SparkSession, d: str) -> DataFrame:
     """Each item's text without what stood around the article."""
-    return boilerplate.main_text(table(spark, d, "items")).withColumnRenamed("id", "item_id")
+    return boilerplate.main_text(spread(table(spark, d, "items"))).withColumnRenamed("id", "item_id")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -69,12 +69,12 @@ def p9_packed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return garbled.find_garbled(table(spark, d, "documents"))
+    return garbled.find_garbled(spread(table(spark, d, "documents")))
 
 
 def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     """The garbled documents with their text restored."""
-    return garbled.restore(table(spark, d, "documents"))
+    return garbled.restore(spread(table(spark, d, "documents")))
 
 
 QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p1_found": p1_found, "p4_found": p4_found, "p4_cleaned": p4_cleaned, "p10_found": p10_found, "p10_restored": p10_restored, "p5_found": p5_found, "p6_found": p6_found, "p6_main_text": p6_main_text, "p7_found": p7_found, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_packed": p9_packed}
