@@ -83,9 +83,15 @@ def _counts_to_model(counted: DataFrame) -> WordModel:
     return WordModel(table.index.tolist(), table.to_numpy(float))
 
 
-def train(documents: DataFrame) -> WordModel:
-    """The word model from ``key, label, text``: fitted on at most TRAIN_ROWS labelled rows, then again with their lines labelled by the first fit, since labels are often wrong and texts mixed."""
-    sample = materialise(documents.where("label is not null and length(text) > 0").orderBy(F.xxhash64("key"), "key").limit(TRAIN_ROWS).select("label", "text"))
+def train(documents: DataFrame, labelled: int) -> WordModel:
+    """The word model from ``key, label, text``: fitted on at most TRAIN_ROWS labelled rows, then again with their lines labelled by the first fit, since labels are often wrong and texts mixed.
+
+    ``labelled``: about how many rows have a label. Rows are taken by a hash of the key that leaves some more than TRAIN_ROWS, so
+    that hardly more texts than that are read and sorted, however large the corpus.
+    """
+    share = min(1.0, 2.0 * TRAIN_ROWS / max(1, labelled))
+    drawn = documents.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
+    sample = materialise(drawn.where("label is not null and length(text) > 0").orderBy(F.xxhash64("key"), "key").limit(TRAIN_ROWS).select("label", "text"))
     tokens = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}'’]+"), F.lit(0)))
     first = _counts_to_model(sample.select(F.col("label").alias("lang"), tokens.alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n")))
 
@@ -121,16 +127,20 @@ def _smooth(own: Column, above: Column) -> Column:
     return F.zip_with(own, above, lambda n, p: (n + p * SMOOTHING) / (total + SMOOTHING))
 
 
-def identify(documents: DataFrame, id_col: str = "id", text_col: str = "text", label_col: str = "lang", url_col: str = "url") -> DataFrame:
+def identify(documents: DataFrame, id_col: str = "id", text_col: str = "text", label_col: str = "lang", url_col: str = "url", without: Column | None = None) -> DataFrame:
     """``id_col, line_no, words, lang, confidence, label, main`` of each text and of each of its lines with words.
 
     line_no 0 stands for the whole text: the language of most of its words, with the share-weighted
     confidence of its lines; ``main`` repeats it in each line's row; ``label`` is what the declared label means, null where it means nothing.
     Null, empty and blank texts have no rows. Words are separated by blanks and line ends. Rows with equal ids stay apart.
+    Rows for which ``without`` is true are left out.
     """
     named = documents.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"), normal_label(F.col(label_col)).alias("label"), host_of(F.col(url_col)).alias("host"))
+    labelled = named.where("label is not null").count()
+    if without is not None:
+        named = documents.where(~without).select(F.col(id_col).alias("key"), F.col(text_col).alias("text"), normal_label(F.col(label_col)).alias("label"), host_of(F.col(url_col)).alias("host"))
     kind = named.schema["key"].dataType.simpleString()
-    model = train(named)
+    model = train(named, labelled)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -183,9 +193,9 @@ def identify(documents: DataFrame, id_col: str = "id", text_col: str = "text", l
     return decided.withColumnRenamed("key", id_col)
 
 
-def mislabelled(documents: DataFrame, id_col: str = "id", text_col: str = "text", label_col: str = "lang", url_col: str = "url") -> DataFrame:
+def mislabelled(documents: DataFrame, id_col: str = "id", text_col: str = "text", label_col: str = "lang", url_col: str = "url", without: Column | None = None) -> DataFrame:
     """``id_col, line_no, lang``: texts of at least LEAST_WORDS words whose label is missing, unknown or another language (line_no 0), and lines of at least LEAST_LINE_WORDS words in another language than the text's."""
-    found = identify(documents, id_col, text_col, label_col, url_col)
+    found = identify(documents, id_col, text_col, label_col, url_col, without)
     whole = (F.col("line_no") == 0) & (F.col("words") >= LEAST_WORDS) & ~F.col("label").eqNullSafe(F.col("lang"))
     line = (F.col("line_no") > 0) & (F.col("words") >= LEAST_LINE_WORDS) & (F.col("confidence") >= CONFIDENT) & (F.col("lang") != F.col("main"))
     return found.where(whole | line).select(id_col, "line_no", "lang")

@@ -37,8 +37,8 @@ def p4_cleaned(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    articles = residue.keep_articles(spread(table(spark, d, "items")).select("id", "text", "lang", "url"))
-    return languages.mislabelled(articles).withColumnRenamed("id", "item_id")
+    items = spread(table(spark, d, "items").select("id", "text", "lang", "url"))
+    return languages.mislabelled(items, without=residue.leftover(F.col("text"))).withColumnRenamed("id", "item_id")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
