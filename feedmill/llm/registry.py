@@ -78,6 +78,9 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p1_found": p1_found, "p4_found": p4_found, "p4_cleaned": p4_cleaned, "p10_found": p10_found, "p10_restored": p10_restored, "p5_found": p5_found, "p6_found": p6_found, "p6_main_text": p6_main_text, "p7_found": p7_found, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_packed": p9_packed}
-_LINES = """SELECT id, source_id, trim(regexp_replace(regexp_replace(lower(x.line), '[0-9]+', '0', 'g'), '[ \\t\\r\\x{a0}]+', ' ', 'g')) AS line
-FROM (SELECT id, source_id, unnest(string_split(text, chr(10))) AS line FROM items WHERE source_id IS NOT NULL) x"""
-ORACLE = {"p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
+ORACLE = {
+    "p4_found": """WITH x AS (SELECT DISTINCT id, source_id, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[ \\t\\r]+', ' ', 'g')) AS line FROM (SELECT id, source_id, unnest(string_split(text, chr(10))) AS line FROM items WHERE source_id IS NOT NULL)),
+ t AS (SELECT source_id, count(*) AS total FROM items WHERE source_id IS NOT NULL GROUP BY source_id)
+ SELECT source_id, line FROM x JOIN t USING (source_id) WHERE line <> '' GROUP BY source_id, line, total HAVING count(*) >= 5 AND count(*) * 50 >= total""",
+    "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+}
