@@ -91,7 +91,9 @@ def train(documents: DataFrame, labelled: int) -> WordModel:
     """
     share = min(1.0, 2.0 * TRAIN_ROWS / max(1, labelled))
     drawn = documents.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
-    sample = materialise(drawn.where("label is not null and length(text) > 0").orderBy(F.xxhash64("key"), "key").limit(TRAIN_ROWS).select("label", "text"))
+    taken = drawn.where("label is not null and length(text) > 0").orderBy(F.xxhash64("key"), "key").limit(TRAIN_ROWS).select("label", "text")
+    # a limit leaves one partition; the counting below is for all cores
+    sample = materialise(taken.repartition(documents.sparkSession.sparkContext.defaultParallelism, "text"))
     tokens = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}'’]+"), F.lit(0)))
     first = _counts_to_model(sample.select(F.col("label").alias("lang"), tokens.alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n")))
 
