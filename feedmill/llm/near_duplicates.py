@@ -80,14 +80,17 @@ def _prepare(words: int, least_words: int, bands: int, rows: int):
     salts = mix(np.arange(1, bands + 1, dtype=np.uint64) * _ROUND)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
         shingles = Shingler(words)
         for batch in batches:
             out = []
             for key, text in zip(batch["key"], batch["text"]):
-                if text is None or len(text.split()) < least_words:
-                    continue
-                elements = shingles(text)
+                split = (text or "").lower().split()
+                elements = shingles(text) if len(split) >= least_words else ()
                 if not len(elements):
+                    # no sketch: the words as they are make copies; without words there are none
+                    out.append((key, xxhash.xxh64_intdigest(" ".join(split), seed=1) - (1 << 63) if split else None, None, None))
                     continue
                 s = mix(sketch(elements, bands * rows))
                 keys = salts.copy()
@@ -95,8 +98,10 @@ def _prepare(words: int, least_words: int, bands: int, rows: int):
                     keys = mix(keys ^ s[r::rows][:bands])
                 bits = np.packbits((s & np.uint64(1)).astype(np.uint8)).view(np.int64)
                 copy = mix(elements[-1:] ^ mix(np.bitwise_xor.reduce(elements, keepdims=True) + np.add.reduce(elements, keepdims=True) * _ROUND))
-                out.append((key, copy.view(np.int64)[0], bits, keys.view(np.int64)))
-            yield pd.DataFrame(out, columns=["key", "copy", "bits", "bands"])
+                out.append((key, int(copy.view(np.int64)[0]), bits, keys.view(np.int64)))
+            columns = dict(zip(("key", "copy", "bits", "bands"), zip(*out) if out else [()] * 4))
+            # as a nullable integer: with a missing value among them, 64 bits would be read as floats
+            yield pd.DataFrame(columns | {"copy": pd.array(columns["copy"], dtype="Int64")})
 
     return run
 
@@ -126,10 +131,11 @@ class NearDuplicates:
 
     members: ``key, copy``, each text with the number of its class of texts with equal sets, whose least key
     represents it as ``representative``. links: ``a, b, similarity`` between the representatives, a < b.
+    rest: ``key, copy`` of the rows without a sketch, which have no similar rows; ``copy`` is null without words.
     """
 
-    def __init__(self, members: DataFrame, links: DataFrame) -> None:
-        self.members, self.links = members, links
+    def __init__(self, members: DataFrame, links: DataFrame, rest: DataFrame) -> None:
+        self.members, self.links, self.rest = members, links, rest
 
     def pairs(self) -> DataFrame:
         """``a, b`` of all pairs of rows, a < b, copies expanded."""
@@ -140,22 +146,30 @@ class NearDuplicates:
         return same.unionByName(both.select(F.least("one", "other").alias("a"), F.greatest("one", "other").alias("b")))
 
     def classes(self) -> DataFrame:
-        """``key, representative, links`` of each row: its class of equal sets and the number of other classes linked to it."""
+        """``key, representative, links`` of each row with a key: its class of equal sets and the number of other classes linked to it.
+
+        Rows without a sketch are of one class if their words are the same; each row without words is a class of its own.
+        """
         ends = self.links.select(F.explode(F.array("a", "b")).alias("representative")).groupBy("representative").agg(F.count("*").alias("links"))
-        return self.members.select("key", "representative").join(ends, "representative", "left").select("key", "representative", F.coalesce("links", F.lit(0)).alias("links"))
+        linked = self.members.select("key", "representative").join(ends, "representative", "left").select("key", "representative", F.coalesce("links", F.lit(0)).alias("links"))
+        short = self.rest.where("copy is not null")
+        alike = short.join(short.groupBy("copy").agg(F.min("key").alias("representative")), "copy").select("key", "representative")
+        alone = self.rest.where("copy is null").select("key", F.col("key").alias("representative"))
+        return linked.unionByName(alike.unionByName(alone).withColumn("links", F.lit(0).cast("bigint")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str, text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, least_words: int = 1, bands: int = BANDS, rows: int = ROWS) -> NearDuplicates:
     """Rows whose sets of runs of ``words`` words have a Jaccard similarity of ``threshold`` or more.
 
     Rows with a null key, a null text, fewer than ``least_words`` words or fewer words than a run have no
-    similar rows. Equal sets are linked through one representative, so a text copied any number of times
+    similar rows, but a class (``rest``). Equal sets are linked through one representative, so a text copied any number of times
     costs one row for each copy. A pair at the threshold is missed with probability (1 - threshold**rows)**bands
     or where its bits agree by chance far less than they should (3.5 standard deviations).
     """
     boxed = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).where("key is not null")
     kind = boxed.schema["key"].dataType.simpleString()
-    sketched = materialise(boxed.mapInPandas(_prepare(words, least_words, bands, rows), f"key {kind}, copy bigint, bits array<bigint>, bands array<bigint>"))
+    prepared = materialise(boxed.mapInPandas(_prepare(words, least_words, bands, rows), f"key {kind}, copy bigint, bits array<bigint>, bands array<bigint>"))
+    sketched, rest = prepared.where("bands is not null"), prepared.where("bands is null").select("key", "copy")
     representatives = sketched.groupBy("copy").agg(F.min("key").alias("representative"))
     members = materialise(sketched.select("key", "copy").join(representatives, "copy"))
     one_each = sketched.join(members.where("key = representative").select("key"), "key", "left_semi")
@@ -177,4 +191,4 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str = "text", words:
     for side in ("a", "b"):
         judged = judged.join(texts.select(F.col("key").alias(side), F.col("text").alias(f"text_{side}")), side)
     links = materialise(judged.select("a", "b", _similarity(words)("text_a", "text_b").alias("similarity")).where(F.col("similarity") >= threshold))
-    return NearDuplicates(members, links)
+    return NearDuplicates(members, links, rest)

@@ -52,6 +52,18 @@ def test_edges(spark):
     assert near_duplicates(rows.limit(0), "id").pairs().collect() == []
 
 
+def test_every_row_has_a_class(spark):
+    text = "one two three four five six seven eight"
+    rows = [(1, text), (2, text), (3, None), (4, None), (5, ""), (6, " \n"), (7, "one two"), (8, "One  two\n"), (9, "onetwo"), (10, "two one"), (11, text + " nine"), (1 << 60 | 1, None)]
+    frame = spark.createDataFrame(rows, "id long, text string").coalesce(1)
+    got = {r.key: (r.representative, r.links) for r in near_duplicates(frame, "id").classes().collect()}
+    assert got == {k: ({2: 1, 8: 7}.get(k, k), 1 if k in (1, 2, 11) else 0) for k, _ in rows}
+    # below the least length copies have no pairs, but a class
+    found = near_duplicates(frame, "id", least_words=60)
+    assert found.pairs().collect() == []
+    assert {r.key: r.representative for r in found.classes().collect()} == {k: {2: 1, 8: 7}.get(k, k) for k, _ in rows}
+
+
 def test_sketch_fills_and_estimates():
     rng = np.random.default_rng(0)
     one = sketch(np.array([7], dtype=np.uint64), 256)
