@@ -12,6 +12,8 @@ from feedmill.tables import spread, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+#: Into how many batches the streaming ingest takes a table.
+INGEST_BATCHES = 4
 
 
 def query(sql: str | None = None):
@@ -427,11 +429,15 @@ def _scratch(spark: SparkSession) -> str:
 
 @query(ORACLE["canonical_url_key"].rpartition(" SELECT raw_id, canonical, sha1")[0] + " SELECT DISTINCT sha1(canonical) AS url_key FROM c")
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
-    """The addresses that a streaming ingest of the raw items keeps."""
+    """The addresses that a streaming ingest of the raw items keeps, taken in by several batches."""
     from feedmill.streaming.ingest import run_ingest
 
-    at = _scratch(spark)
-    run_ingest(spark, f"{d}/raw_items.parquet*", f"{at}/out", f"{at}/state")
+    at, path = _scratch(spark), f"{d}/raw_items.parquet*"
+    files = len(table(spark, d, "raw_items").inputFiles())
+    if files < INGEST_BATCHES:  # a stream can't split a file
+        path, files = f"{at}/raw", INGEST_BATCHES
+        table(spark, d, "raw_items").repartitionByRange(files, "raw_id").write.parquet(path)
+    run_ingest(spark, path, f"{at}/out", f"{at}/state", -(-files // INGEST_BATCHES))
     return spark.read.parquet(f"{at}/out").select("url_key")
 
 

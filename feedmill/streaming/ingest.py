@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from feedmill.functions import text as X
 
-HORIZON = "45 days"
-
 
 def raw_stream(spark: SparkSession, path: str, files_a_batch: int | None = None) -> DataFrame:
     """The raw items that arrive as Parquet files under ``path``, a directory or a pattern."""
@@ -16,16 +14,30 @@ def raw_stream(spark: SparkSession, path: str, files_a_batch: int | None = None)
     return (reader.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else reader).parquet(path)
 
 
-def first_of_each_address(stream: DataFrame, horizon: str = HORIZON) -> DataFrame:
-    """``stream`` with ``url_key``, each key once within the horizon; rows that come later than that, or without url, are left out."""
-    keyed = stream.withColumn("url_key", X.url_key(F.col("url"))).withColumn("fetched_at", F.col("fetched_at").cast("timestamp")).where("url_key is not null")
-    return keyed.withWatermark("fetched_at", horizon).dropDuplicatesWithinWatermark(["url_key"])
+def first_of_each_address(rows: DataFrame) -> DataFrame:
+    """The row first fetched of each ``url_key``, which is added; rows without url are left out."""
+    keyed = rows.withColumn("url_key", X.url_key(F.col("url"))).withColumn("fetched_at", F.col("fetched_at").cast("timestamp")).where("url_key is not null")
+    ties = [c for c in ("raw_id", "url") if c in rows.columns]
+    rest = [c for c in keyed.columns if c != "url_key"]
+    first = keyed.groupBy("url_key").agg(F.min_by(F.struct(*rest), F.struct(F.col("fetched_at").isNull(), "fetched_at", *ties)).alias("first"))
+    return first.select("first.*", "url_key")
+
 
+def run_ingest(spark: SparkSession, path: str, out: str, checkpoint: str, files_a_batch: int | None = None) -> None:
+    """Take in all that has arrived since the last call and stop; a repeated call finds nothing new.
+
+    Each address is taken in once for good, however late its rows are: a batch is anti-joined with the ``url_key`` of all
+    that is written and lands in a directory of its own number, which a repeated batch overwrites.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        new = first_of_each_address(batch)
+        if number:
+            done = batch.sparkSession.read.schema("url_key string, batch int").option("basePath", out).parquet(out).where(F.col("batch") < number).select("url_key")
+            new = new.join(done, "url_key", "left_anti").select(*new.columns)
+        new.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-def run_ingest(spark: SparkSession, path: str, out: str, checkpoint: str) -> None:
-    """Take in all that has arrived since the last call and stop; a repeated call finds nothing new."""
-    query = first_of_each_address(raw_stream(spark, path)).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    raw_stream(spark, path, files_a_batch).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def deliver(offers: DataFrame, out: str, checkpoint: str) -> None:

@@ -52,6 +52,23 @@ def test_ingest_and_delivery(spark, tmp_path):
     assert sorted((r.subscription_id, r.item_id) for r in spark.read.parquet(log).collect()) == [("s", 1), ("s", 2), ("t", 1)]
 
 
+def test_late_addresses(spark, tmp_path):
+    raw, out, state = (str(tmp_path / x) for x in ("raw", "out", "state"))
+
+    def arrive(*rows, each=None):
+        for k, u, t in rows:
+            spark.createDataFrame([(k, u, t)], "raw_id long, url string, t string").select("raw_id", "url", F.col("t").cast("timestamp").alias("fetched_at")).coalesce(1).write.mode("append").parquet(raw)
+        run_ingest(spark, raw, out, state, each)
+        return sorted(r.raw_id for r in spark.read.parquet(out).collect())
+
+    a, b, c = (f"https://a.example/{x}" for x in "abc")
+    assert arrive((1, a, "2024-06-01"), (2, a, "2024-05-01")) == [2]
+    # long before and long after what has been seen, and without a time
+    assert arrive((3, b, "2023-01-01"), (4, a, "2027-01-01"), each=1) == [2, 3]
+    assert arrive((5, a, "2027-06-01"), (6, b, "2022-01-01"), (7, c, None), each=1) == [2, 3, 7]
+    assert arrive() == [2, 3, 7]
+
+
 def test_judged(spark):
     candidates = spark.createDataFrame([(1, "trout"), (2, "cod"), (3, ""), (4, "trout"), (5, "Trout"), (6, None)], "id long, text string")
     memo = spark.createDataFrame([(4, False)], "id long, passes boolean")
