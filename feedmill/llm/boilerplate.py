@@ -22,6 +22,7 @@ from feedmill.llm.residue import BULLET, CLOSING, EMPTY_VALUE, END, FURNITURE, O
 
 #: Neighbours on either side, lines from which a line is a paragraph, and neighbours that must share a paragraph.
 SIDE, PARAGRAPH_WORDS, PARAGRAPH_SHARED = 4, 12, 3
+#: Entries at most of a list of headings without bullets that the article follows, perhaps with a subhead.
 LIST_LENGTH = 4
 BYLINE = re.compile(
     r"(?:by|av|von|par|por|di|da|dal|dalla|de|από|του|της|text|texto|texte|testo|tekst|report|reportage|reportaje|reportagem|bericht|foto|κείμενο|ρεπορτάζ|γράφει|skrevet av|escrito por|scritto da|redacción|redazione|redaktion)\b(?! the page)",
@@ -153,7 +154,7 @@ def _other_articles(page: Page, drop: list[bool], shared: list[int]) -> None:
             continue
         ahead, last = [], at + 1
         bullet = None
-        while last < count and len(ahead) < LIST_LENGTH:
+        while last < count:
             if drop[last] and OPENERS.search(page.lines[last][1]):
                 last += 1  # a stray placeholder within the list
                 continue
@@ -167,6 +168,9 @@ def _other_articles(page: Page, drop: list[bool], shared: list[int]) -> None:
                 break
             ahead.append(last)
             last += 1
+        # bullets tell where a list ends; without any its last headings may be the article's own
+        if not BULLET.match(bullet or "") and last < count and not drop[last] and not LIST_HEADING.match(page.keys[last]):
+            del ahead[LIST_LENGTH:]
         # a heading known by its words, or a shared line with a list of at least two unlike the article's
         if ahead and (heading or len(ahead) >= 2 and bullet):
             drop[at] = True

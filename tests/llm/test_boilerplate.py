@@ -2,7 +2,7 @@
 
 import pytest
 
-from feedmill.llm.boilerplate import boilerplate_lines, common_subsequence, main_text
+from feedmill.llm.boilerplate import Page, boilerplate_lines, common_subsequence, main_text, surroundings
 
 NAMES = "north south east west upper lower inner outer grand little old new".split()
 
@@ -49,6 +49,19 @@ def test_main_text(pages):
     assert main_text(pages.limit(0)).collect() == []
 
 
+def test_long_list():
+    own = _article(3)
+    listed = [f"- The {a} mill bought a {b} depot" for a, b in zip(NAMES, NAMES[1:])]
+    page = Page(1, "tolmby.example", "\n".join([*own[:2], "Related articles", *listed, *own[2:]]))
+    assert surroundings(page, []) == set(range(3, 4 + len(listed)))
+    # without bullets the article's own subhead may follow, but not at the page's end
+    plain = [line[2:] for line in listed]
+    page = Page(1, "tolmby.example", "\n".join([*own[:2], "Related articles", *plain[:4], *own[2:]]))
+    assert surroundings(page, []) == {3, 4, 5, 6, 7}
+    page = Page(1, "tolmby.example", "\n".join([*own, "Related articles", *plain]))
+    assert surroundings(page, []) == set(range(5, 6 + len(plain)))
+
+
 def test_alignment():
     assert common_subsequence(list("axbycz"), list("abc")) == {0, 2, 4}
     assert common_subsequence(list("ab"), list("ba")) in ({0}, {1})
