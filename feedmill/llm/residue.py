@@ -41,6 +41,7 @@ NOTICE = tuple(
     "|δεν βρέθηκε|σφάλμα|δεν είναι διαθέσιμη|δεν έχετε πρόσβαση".split("|")
 )
 NUMBERED = re.compile(r"(?:error|feil|fehler|erreur|erro|errore|http|status|σφάλμα) \d")
+NUMBERED_WORDS = ("error ", "feil ", "fehler ", "erreur ", "erro ", "errore ", "http ", "status ", "σφάλμα ")
 FILLER = tuple(
     "headline goes here|body copy|text goes here|title goes here|story goes here|text to follow|insert your|insert story|insert headline|insert title|sample paragraph|sample text|dummy text|test article|placeholder text"
     "|her kommer brødteksten|her kommer teksten|her kommer tittelen|prøvetekst|sett inn tittel|fylltekst|hier steht später|blindtext|platzhalter|hier einfügen|hier kommt der text"
@@ -72,6 +73,7 @@ DUMMY_WORDS = frozenset(
 BULLET = re.compile(r"^[\s•»›>*\-–—·#]+")
 END = ".!?…;:"
 CLOSING = "\"”’»)] \t\r"
+SENTENCE = re.compile(r"(?<=[.!?…;:])\s+")
 WORD = re.compile(r"[^\W\d_]+")
 FENCE = ("```", "~~~", "<code", "</code", "<pre", "</pre")
 
@@ -83,6 +85,24 @@ def _any(parts: tuple[str, ...], low: str) -> bool:
     return False
 
 
+def _notice(s: str, low: str) -> bool:
+    return s[0] not in "“\"«„" and (_any(NOTICE, low) or _any(FILLER, low) or NUMBERED.match(low, 1) is not None)
+
+
+def _notices(s: str, low: str) -> bool:
+    """Whether a line is a notice or filler: a long one if the sentences that are make up half of its words."""
+    if len(s.split()) <= 25:
+        return _notice(s, low)
+    if not (_any(NOTICE, low) or _any(FILLER, low) or _any(NUMBERED_WORDS, low)):
+        return False
+    told = sum(len(x.split()) for x in SENTENCE.split(s) if x and _notice(x, " " + x.lower()))
+    return 2 * told >= len(s.split())
+
+
+def _dummy(lower: list[str]) -> bool:
+    return len(lower) >= 4 and 2 * sum(w in DUMMY_WORDS for w in lower) >= len(lower)
+
+
 def weigh(text: str) -> tuple[int, int]:
     """(words of residue, words of prose) of a text, as far as they decide. Lines of fenced code count as neither."""
     residue = prose = 0
@@ -96,6 +116,11 @@ def weigh(text: str) -> tuple[int, int]:
         opened = OPENERS.search(line) is not None
         ended = line.rstrip(CLOSING)[-1:] in END
         if n > 25 and not opened and not fenced and ended and not FUNCTION_WORDS.isdisjoint(line.lower().split()):
+            s = line.strip()
+            low = " " + s.lower()
+            if _dummy(WORD.findall(low)) or _notices(s, low):
+                residue += n
+                continue
             prose += n
             if prose > most:  # the rest can't outweigh it
                 break
@@ -121,9 +146,9 @@ def weigh(text: str) -> tuple[int, int]:
         lower = WORD.findall(low)
         if n <= 30 and (EMPTY_VALUE.fullmatch(s) or TECHNICAL.fullmatch(s)):
             residue += n
-        elif len(lower) >= 4 and (len(set(lower)) <= max(2, len(lower) // 8) or 2 * sum(w in DUMMY_WORDS for w in lower) >= len(lower)):
+        elif len(lower) >= 4 and len(set(lower)) <= max(2, len(lower) // 8) or _dummy(lower):
             residue += n
-        elif n <= 25 and s[0] not in "“\"«„" and (_any(NOTICE, low) or _any(FILLER, low) or NUMBERED.match(low, 1)):
+        elif _notices(s, low):
             residue += n
         elif n >= 5 and ended and not FUNCTION_WORDS.isdisjoint(lower) and not _any(FURNITURE, low):
             prose += n

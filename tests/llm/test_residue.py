@@ -41,6 +41,24 @@ def test_decisions():
     assert not is_leftover(PROSE * 20_000)
 
 
+LONG = [
+    "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua. Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat. "
+    "Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur. Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum.",
+    "JavaScript is disabled in your browser, and this site does not work without it. Please enable JavaScript in the settings and reload the page, or ask the support team for help with that.",
+    "Sorry, something went wrong on our side and the article could not be shown. The service is unavailable for the moment, so please try again in a few minutes or go to the front page.",
+    "This is a sample text for the new template, and the story goes here when it is ready. The body copy of the article is to be put in by the desk, in place of this placeholder text.",
+    "En av tjenestene på siden svarer ikke, og noe gikk galt da vi skulle hente artikkelen til deg. Siden finnes ikke lenger på denne adressen, eller du har ikke tilgang til den med det samme",
+]
+
+
+def test_long_lines():
+    assert [t for t in LONG if not is_leftover(t)] == []
+    assert [t for t in LONG if is_leftover(t + "\n" + PROSE + "\n" + PROSE + "\n" + PROSE)] == []
+    # a mention in a long line leaves it prose
+    assert not is_leftover("The ferry is unavailable until the maintenance of the quay is over. " + PROSE)
+    assert not is_leftover(PROSE + " The report quotes a text that begins with lorem ipsum dolor sit amet and was never replaced.")
+
+
 def test_mixed_language_and_weights():
     residue, prose = weigh("Slå på JavaScript for å lese denne siden.\n" + PROSE)
     assert 0 < residue < prose
