@@ -4,7 +4,8 @@ Nearest-URL page differencing. Pages are ordered by host and path, so that a pag
 template; the order is a range partitioning, which spreads a large site over many tasks. Each page's lines are
 aligned with those of its nearest neighbours of the same host by longest common subsequence, and lines that
 neighbours share are page furniture. Near copies of the page are passed over as neighbours, since they
-share the article. An exact check by line form follows: lists of and pointers to other articles, whose lines differ from
+share the article. Word lists and line forms follow, which drop lines that no neighbour shares as well, and may take an
+article's own sentence on cookies, privacy or subscriptions with them: lists of and pointers to other articles, whose lines differ from
 page to page, go with their headings; bylines stay.
 """
 
