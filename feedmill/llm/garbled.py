@@ -4,8 +4,7 @@ Only characters beyond ASCII can be wrong, so the unit of work is the segment: a
 with one ASCII character on either side. The corpus's distinct segments are counted by a grouped
 aggregation; a smoothed character bigram model is trained on the clean ones; for each distinct segment every
 chain of encoding back and decoding again is scored, and the likeliest is accepted if it beats the text
-as it stands by a margin. The margin is validated on the data: segments garbled on purpose must be
-found, clean ones left alone. The verdicts go back to the documents by a join on the segment.
+as it stands by a margin. The margins are constants and are not validated on the corpus at hand. The verdicts go back to the documents by a join on the segment.
 """
 
 from __future__ import annotations
@@ -30,7 +29,8 @@ WRONG = ("cp1252", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "cp1253",
 #: One-byte encodings that text was really in.
 RIGHT = ("cp1252", "mac_roman", "cp437", "cp850", "cp1253", "cp1250")
 #: Gains in log likelihood from which a chain is accepted, by kind: it ends in UTF-8 and gives pairs known from clean
-#: text; it ends in UTF-8 and gives others; it ends in a one-byte encoding. Validated as ``validate`` does.
+#: text; it ends in UTF-8 and gives others; it ends in a one-byte encoding.
+#: Constants, whatever the corpus.
 MARGINS = {"known": 4.0, "new": 12.0, "byte": 8.7}
 #: Gain from which a weaker segment is restored where its document has the same chain accepted elsewhere.
 WEAK = 1.5
