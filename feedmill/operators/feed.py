@@ -208,16 +208,18 @@ def window_of(period: str, day: Column) -> tuple[Column, Column]:
     return F.date_sub(day, days[period] - 1), F.date_add(day, 1)
 
 
-def pack_prefix(rows: DataFrame, by: str, order: list[Column], cost: str, budget: Column, most: Column, keep_first: bool = False, cap: int = 1000) -> DataFrame:
+def pack_prefix(rows: DataFrame, by: str, order: list[Column], cost: str, budget: Column, most: Column, keep_first: bool = False, cap: int | None = None) -> DataFrame:
     """The rows of each group, in order, until the first that would overflow the budget or the count.
 
-    With ``keep_first`` a group's first row stays whatever it costs. No group can need more than ``cap`` rows, a bound
-    on ``most``, so each partition keeps only that many of a group before the shuffle.
+    With ``keep_first`` a group's first row stays whatever it costs. Rows beyond the count are cut
+    before the running sum; with ``cap``, the greatest ``most`` of all groups, in each partition before the shuffle too.
     """
-    ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("n") <= cap)
+    ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("n") <= most)
+    if cap is not None:
+        ranked = ranked.where(F.col("n") <= cap)
     spent = ranked.withColumn("spent", F.sum(cost).over(Window.partitionBy(by).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)))
     fits = F.col("spent") <= budget
-    return spent.where((fits | (F.col("n") == 1) if keep_first else fits) & (F.col("n") <= most))
+    return spent.where(fits | (F.col("n") == 1) if keep_first else fits)
 
 
 def latest(log: DataFrame, key: list[str], order: list[str]) -> DataFrame:

@@ -286,16 +286,21 @@ def _due(spark: SparkSession, d: str) -> DataFrame:
     return offered.join(subs, "language").drop("language").join(got, ["sub", "id"], "left_anti")
 
 
+def _most_items(spark: SparkSession, d: str) -> int | None:
+    """The greatest count that a subscription asks for."""
+    return table(spark, d, "subscriptions").select(F.max(F.from_json("spec", "max_items bigint")["max_items"])).first()[0]
+
+
 @query(f"WITH {_OPEN} SELECT sub, id, cost, spent FROM n WHERE spent <= max_tokens AND n <= max_items")
 def sync_pack_budget(spark: SparkSession, d: str) -> DataFrame:
     """What each subscription's next sync delivers: undelivered items in order until tokens or count run out."""
-    return feed.pack_prefix(_due(spark, d), "sub", [F.col("id")], "cost", F.col("max_tokens"), F.col("max_items")).select("sub", "id", "cost", "spent")
+    return feed.pack_prefix(_due(spark, d), "sub", [F.col("id")], "cost", F.col("max_tokens"), F.col("max_items"), cap=_most_items(spark, d)).select("sub", "id", "cost", "spent")
 
 
 @query(f"WITH {_OPEN} SELECT sub, id, cost, spent FROM n WHERE (spent <= max_tokens OR n = 1) AND n <= max_items")
 def preview_pack(spark: SparkSession, d: str) -> DataFrame:
     """The same with the first item kept at whatever cost."""
-    return feed.pack_prefix(_due(spark, d), "sub", [F.col("id")], "cost", F.col("max_tokens"), F.col("max_items"), keep_first=True).select("sub", "id", "cost", "spent")
+    return feed.pack_prefix(_due(spark, d), "sub", [F.col("id")], "cost", F.col("max_tokens"), F.col("max_items"), keep_first=True, cap=_most_items(spark, d)).select("sub", "id", "cost", "spent")
 
 
 @query("""SELECT i.id, kind, CASE WHEN coalesce(length(t), 0) = 0 THEN 0 ELSE least(length(t) // 4 + 1, 1000000) END::INT AS tokens FROM (SELECT i.id, unnest(['headline', 'brief', 'full']) AS kind, unnest([coalesce(nullif(e.headline, ''), i.title), coalesce(nullif(e.summary, ''), i.excerpt), i.text]) AS t FROM items i LEFT JOIN enrichment e ON e.item_id = i.id) i WHERE coalesce(t, '') <> ''""")

@@ -64,6 +64,12 @@ def test_pack_prefix(spark):
     assert take(keep_first=True) == [("a", 0), ("a", 1), ("b", 0), ("c", 0), ("c", 1)]
 
 
+def test_pack_prefix_of_many(spark):
+    rows = spark.range(1500).select(F.lit("a").alias("g"), "id", F.lit(1).alias("cost"))
+    take = lambda most, **k: feed.pack_prefix(rows, "g", [F.col("id")], "cost", F.lit(5000), F.lit(most), **k).count()
+    assert [take(2000), take(2000, cap=2000), take(1200), take(1200, keep_first=True)] == [1500, 1500, 1200, 1200]
+
+
 def test_state(spark):
     log = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "c", None), (2, "d", 0), (3, "e", None), (3, "e", None)], "k long, v string, at long")
     assert {r.k: r.v for r in feed.latest(log, ["k"], ["at", "v"]).collect()} == {1: "b", 2: "d", 3: "e"}
