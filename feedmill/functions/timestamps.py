@@ -56,7 +56,7 @@ _NOTATIONS = (
 FIELDS = ("epoch", "y", "mo", "d", "h", "mi", "s", "offset", "letters", "region")
 
 
-def _zones() -> list[str]:
+def zone_names() -> list[str]:
     """The names of places that the time zone database knows; others would end the job."""
     return sorted(z for z in zoneinfo.available_timezones() if "/" in z or z in ("UTC", "GMT"))
 
@@ -133,7 +133,7 @@ def epoch_seconds(parsed_value: Column, zone: Column) -> Column:
         local, minutes = local_seconds(p), own_offset_minutes(p)
         region = F.array_join(F.transform(F.split(p["region"], "/"), lambda part: F.array_join(F.transform(F.split(part, "_"), F.initcap), "_")), "/")
         given = F.when(p["region"] != "", region).otherwise(F.coalesce(zone, F.lit("UTC")))
-        where = F.when(given.isin(_zones()), given)
+        where = F.when(given.isin(zone_names()), given)
         by_zone = F.unix_seconds(F.to_utc_timestamp(F.timestamp_seconds(local), where))
         return F.when(p["epoch"].isNotNull(), p["epoch"]).when(minutes.isNotNull(), local - minutes * 60).when(p["letters"] == "", by_zone)
 
