@@ -2,7 +2,7 @@
 
 import pytest
 
-from feedmill.llm.boilerplate import Page, boilerplate_lines, common_subsequence, main_text, surroundings
+from feedmill.llm.boilerplate import Page, _numbered, boilerplate_lines, common_subsequence, main_text, surroundings
 
 NAMES = "north south east west upper lower inner outer grand little old new".split()
 
@@ -62,7 +62,44 @@ def test_long_list():
     assert surroundings(page, []) == set(range(5, 6 + len(plain)))
 
 
+def _strange(k):
+    """A page whose surroundings no list knows."""
+    head = ["Zorn | Blif | Quom | Dask", f"Zorn › quom › {NAMES[k]}", "Plig the wumble to see more of it"]
+    tail = ["Wumbled most", f"The {NAMES[-k]} mill bought a depot", f"A {NAMES[k - 3]} bank opened a plant near the bay", f"Plomb: The {NAMES[k]} court delayed a plan", "Grommed by the Tolmby Post and its wumblers, who gromm what is grommed and no more than that."]
+    lines, out = [], set()
+    for part, keep in ((head, False), (_article(k), True), (tail, False)):
+        for line in part:
+            lines.append(line)
+            if not keep:
+                out.add(len(lines))
+    return "\n".join(lines), out
+
+
+def test_alignment_decides(spark, monkeypatch):
+    """Without the alignment nothing of these pages is found; with it, all."""
+    pages = [Page(k, "tolmby.example", _strange(k)[0]) for k in range(12)]
+    near = lambda k: pages[:k] + pages[k + 1 :]
+    assert [surroundings(p, near(k)) for k, p in enumerate(pages)] == [_strange(k)[1] for k in range(12)]
+    monkeypatch.setattr("feedmill.llm.boilerplate.common_subsequence", lambda a, b: [])
+    assert all(not surroundings(p, near(k)) for k, p in enumerate(pages))
+
+
+def test_copies_are_passed_over(spark):
+    """A page amid more copies than it has neighbours on either side still meets other pages."""
+    article = "\n".join([*_article(2), "A long paragraph of the article that each of its copies repeats, so that nobody could take one of them for another page of the site at all."] * 2)
+    rows = [(k, f"https://tolmby.example/news/{k:04}", _strange(k % 12)[0]) for k in range(24)]
+    head, tail = _strange(2)[0].split("\n")[:3], _strange(2)[0].split("\n")[-5:]
+    rows += [(100 + k, f"https://tolmby.example/news/0012-{k:04}", "\n".join([*head, article, *tail])) for k in range(60)]
+    found = boilerplate_lines(spark.createDataFrame(rows, "id long, url string, text string").coalesce(1)).where("id = 130").collect()
+    assert {1, 2, 3} <= {r.line_no for r in found}
+
+
+def _aligned(a, b):
+    return set(common_subsequence(_numbered(list(a)), _numbered(list(b))))
+
+
 def test_alignment():
-    assert common_subsequence(list("axbycz"), list("abc")) == {0, 2, 4}
-    assert common_subsequence(list("ab"), list("ba")) in ({0}, {1})
-    assert common_subsequence([], ["a"]) == set()
+    assert _aligned("axbycz", "abc") == {0, 2, 4}
+    assert _aligned("ab", "ba") in ({0}, {1})
+    assert _aligned("aabaa", "aab") == {0, 1, 2}
+    assert _aligned("", "a") == set()
