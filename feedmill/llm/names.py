@@ -1,17 +1,22 @@
-"""Problem 7: names typed in many ways, linked to the known entries they mean.
-
-Spellings are reduced to forms (distinct, so each is worked on once). Forms and known names become weighted
-vectors of character 3-grams; a sparse join on the gram with a grouped sum gives the cosines, of which
-each form keeps its best few entries. An exact check by tokens (typing errors, abbreviations, initials,
-nicknames, order, missing trade words) decides which of them a form can mean. Where several are left, average
-linkage does: the entry whose variants found so far are on average most similar, if clearly so, else
-the entry that the same item names otherwise.
+"""Problem 7: names typed in many ways, grouped, and linked to the known entries they mean.
+
+Spellings are reduced to forms (distinct, so each is worked on once). Forms and entries are nodes; each has a
+few looks (a form as typed and with its short words written out; an entry by its initials, without its trade word, with a pet name or
+an initial), and a look is a weighted vector of character 3-grams. A sparse join on the grams with a sum combined before the shuffle
+gives all pairs of nodes with a cosine of EDGE or more; no count of partners is set. Average-linkage clustering then
+merges the nodes from the most similar down to LEVELS' last; clusters with different entries never merge, and a cluster that two
+entries attract about equally waits. So a form means the entry of its cluster, and what is in no entry's cluster forms groups of
+unknown names. An exact check by tokens follows (typing errors, abbreviations, initials, nicknames, order,
+missing trade words): it removes names that only resemble the entry. What two entries attract alike is linked to
+the one that the same item names otherwise, if any.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from functools import reduce
+from itertools import chain, repeat
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -20,9 +25,10 @@ from pyspark.sql import types as T
 
 from feedmill.session import materialise
 
-TOP_N = 8
-LEAST_COSINE = 0.15
-CLEAR = 0.1
+#: The least cosine of two nodes that counts, the levels of average linkage, and the lead that the nearer of two entries needs.
+EDGE = 0.3
+LEVELS = (0.9, 0.75, 0.6, 0.45, 0.3)
+CLEAR = 0.02
 
 # Words that add nothing to a name, shortened words and pet names.
 LEGAL = frozenset("plc inc incorporated ltd limited llc lp ag as asa ab bv nv gmbh kg oy oyj sa sas srl spa ae aps co corp corporation company holding holdings group".split())
@@ -31,7 +37,7 @@ SMALL = frozenset("the of for and und og et".split())
 SHORT = {
     "natl": "national", "nat": "national", "inst": "institute", "res": "research", "fed": "federal", "dept": "department", "dep": "department", "stds": "standards", "std": "standards", "intl": "international", "int": "international",
     "assoc": "association", "assn": "association", "univ": "university", "ctr": "centre", "center": "centre", "cent": "centre", "sci": "science", "lab": "laboratory", "labs": "laboratory", "eur": "european", "stud": "studies", "council": "council", "cncl": "council",
-    "shpg": "shipping", "sw": "software", "ins": "insurance", "fin": "finance", "log": "logistics", "semi": "semiconductors", "semis": "semiconductors", "semicon": "semiconductors", "bio": "biotech", "mat": "materials", "mats": "materials", "tex": "textiles", "min": "minerals", "rob": "robotics", "opt": "optics", "air": "airways", "tmbr": "timber", "engy": "energy", "nrg": "energy",
+    "pharmaceuticals": "pharma", "shpg": "shipping", "sw": "software", "ins": "insurance", "fin": "finance", "log": "logistics", "semi": "semiconductors", "semis": "semiconductors", "semicon": "semiconductors", "bio": "biotech", "mat": "materials", "mats": "materials", "tex": "textiles", "min": "minerals", "rob": "robotics", "opt": "optics", "air": "airways", "tmbr": "timber", "engy": "energy", "nrg": "energy",
 }
 PET = {
     "alexander": "alex alec sandy sasha", "andreas": "andy andi", "benjamin": "ben benny benji", "charlotte": "lottie lotte charlie", "christopher": "chris kit topher", "elizabeth": "liz beth lizzie eliza betty lisa libby", "francisco": "paco fran pancho", "frederik": "fred freddie",
@@ -146,12 +152,61 @@ def _grams(form: Column) -> Column:
     return F.flatten(F.transform(words, cut))
 
 
-def _vectors(forms: DataFrame, idf: DataFrame, key: str) -> DataFrame:
-    """``key, gram, w``: unit vectors of the forms' grams, weighted by how few forms have them."""
-    counted = forms.select(key, F.explode(_grams(F.col("form"))).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("tf"))
+def _vectors(looks: DataFrame) -> DataFrame:
+    """``look, gram, w``: unit vectors of the looks' grams (``look, form``), weighted by how few looks have them."""
+    counted = materialise(looks.select("look", F.explode(_grams(F.col("form"))).alias("gram")).groupBy("look", "gram").agg(F.count("*").alias("tf")))
+    total = looks.count()
+    idf = counted.groupBy("gram").agg((F.log(F.lit(1.0 + total)) - F.log(F.count("*") + 0.5)).alias("idf"))
     weighted = counted.join(idf, "gram").withColumn("w", F.col("tf") * F.col("idf"))
-    norms = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighted.join(norms, key).select(key, "gram", (F.col("w") / F.col("norm")).alias("w"))
+    norms = weighted.groupBy("look").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return weighted.join(norms, "look").select("look", "gram", (F.col("w") / F.col("norm")).alias("w"))
+
+
+def similar_nodes(looks: DataFrame) -> DataFrame:
+    """``a, b, cosine`` of all pairs of nodes with looks (``node, look, form, entry``) whose cosine is EDGE or more, a < b; two entries are no pair."""
+    vectors = materialise(_vectors(looks).join(looks.select("look", "node", "entry"), "look"))
+    met = vectors.alias("x").join(vectors.alias("y"), "gram").where("x.look < y.look and x.node <> y.node and not (x.entry and y.entry)")
+    products = met.groupBy(F.col("x.look"), F.col("y.look"), F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).agg(F.sum(F.col("x.w") * F.col("y.w")).alias("cosine"))
+    return products.where(F.col("cosine") >= EDGE).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+
+
+def average_linkage(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``node, cluster``, ``cluster, entry`` of what two entries attract alike) of ``nodes`` (``node, entry``) with ``edges`` (``a, b, cosine``).
+
+    The similarity of two clusters is the mean over all pairs of their nodes, 0 where there is no edge. Each level is one round, in which clusters
+    merge into the most similar one if it is at least that similar, and the last goes on until nothing merges: into an entry's cluster or into one that has itself no better
+    to merge into, so that merges don't chain. Clusters with different entries never merge. Each round is written to cut the lineage.
+    """
+    state = nodes.select("node", F.col("node").alias("cluster"))
+    clusters = materialise(nodes.select(F.col("node").alias("cluster"), F.lit(1).cast("bigint").alias("size"), F.when(F.col("entry"), F.col("node")).alias("seed")))
+    # the graph of clusters, either way round; merging adds its edges up, so that it shrinks
+    links = materialise(edges.select(F.explode(F.array(F.struct(F.col("a").alias("cluster"), F.col("b").alias("to"), F.col("cosine").alias("total")), F.struct(F.col("b").alias("cluster"), F.col("a").alias("to"), F.col("cosine").alias("total")))).alias("e")).select("e.*"))
+    near = F.col("mean") >= F.col("best") - CLEAR
+    waiting: list[DataFrame] = []
+    for level in chain(LEVELS, repeat(LEVELS[-1])):
+        linked = links.join(clusters, "cluster").join(clusters.select(F.col("cluster").alias("to"), F.col("size").alias("to_size"), F.col("seed").alias("to_seed")), "to")
+        linked = linked.where("seed is null").withColumn("mean", F.col("total") / (F.col("size") * F.col("to_size"))).where(F.col("mean") >= level)
+        ranked = linked.withColumn("best", F.max("mean").over(Window.partitionBy("cluster")))
+        order = F.struct(-F.round("mean", 9), F.col("to_seed").isNull(), "to")
+        first = materialise(ranked.groupBy("cluster").agg(F.min_by(F.struct("to", "to_seed"), order).alias("to"), F.collect_set(F.when(near, F.col("to_seed"))).alias("seeds")).select("cluster", "to.*", "seeds"))
+        # what several entries attract about equally is undecided; else into an entry's cluster, or into one that has itself no better than a later one
+        clear = first.where("size(seeds) <= 1")
+        later = first.select(F.col("cluster").alias("to"), (F.col("to_seed").isNull() & (F.col("to") > F.col("cluster")) & (F.size("seeds") <= 1)).alias("stays"))
+        moves = clear.join(later, "to", "left").where("to_seed is not null or (to < cluster and coalesce(stays, true))").select("cluster", "to")
+        undecided = first.where("size(seeds) > 1").select("cluster", F.explode("seeds").alias("entry"))
+        waiting.append(state.join(undecided, "cluster").select("node", "entry"))
+        moves = materialise(moves.unionByName(undecided.select("cluster", F.lit(None).cast("string").alias("to")).distinct()))
+        if moves.isEmpty():
+            if level > LEVELS[-1]:
+                continue
+            break
+        renamed = lambda df, c: df.join(moves.where("to is not null").select(F.col("cluster").alias(c), F.col("to").alias("new")), c, "left").withColumn(c, F.coalesce("new", c)).drop("new")
+        state = materialise(renamed(state, "cluster"))
+        clusters = materialise(renamed(clusters, "cluster").groupBy("cluster").agg(F.sum("size").alias("size"), F.max("seed").alias("seed")))
+        out = moves.where("to is null").select("cluster")
+        left = links.join(out, "cluster", "left_anti").join(out.withColumnRenamed("cluster", "to"), "to", "left_anti")
+        links = materialise(renamed(renamed(left, "cluster"), "to").where("cluster <> to").groupBy("cluster", "to").agg(F.sum("total").alias("total")))
+    return state.join(clusters.select("cluster", "seed"), "cluster").select("node", "cluster", "seed"), reduce(DataFrame.unionByName, waiting)
 
 
 @F.pandas_udf(T.StringType())
@@ -171,46 +226,68 @@ def mentions(enrichment: DataFrame, entities: DataFrame) -> DataFrame:
     return listed.unionByName(typed).where("spelling is not null and trim(spelling) <> ''").distinct()
 
 
-def link_names(named: DataFrame, orgs: DataFrame, top_n: int = TOP_N) -> DataFrame:
-    """``item_id, spelling, org_key`` of each distinct mention in ``named`` (``item_id, spelling``) that means an entry of ``orgs`` (``key, display, kind``).
+def _looks(name: Column, person: Column) -> Column:
+    """How an entry is typed besides its full form: an organisation by its initials and without its trade word, a person with an initial or a pet name."""
+    tokens = F.split(name, " ")
+    size = F.size(tokens)
+    initials = F.array_join(F.transform(tokens, lambda t: F.substring(t, 1, 1)), "")
+    shorter = F.array_join(F.slice(tokens, 1, F.greatest(size - 1, F.lit(1))), " ")
+    rest = F.array_join(F.filter(F.slice(tokens, 2, F.greatest(size - 1, F.lit(1))), lambda t: F.length(t) > 1), " ")
+    pets = F.create_map(*[F.lit(x) for full, short in PET.items() for x in (full, short)])[tokens[0]]
+    given = F.concat(F.array(F.substring(tokens[0], 1, 1), tokens[0]), F.coalesce(F.split(pets, " "), F.array().cast("array<string>")))
+    typed = F.when(person & (size > 1), F.transform(given, lambda g: F.concat_ws(" ", g, rest))).otherwise(F.array(F.when(size > 2, initials), F.when(size.between(2, 3), shorter)))
+    return F.array_distinct(F.filter(F.concat(F.array(name), typed), lambda x: x.isNotNull()))
+
+
+def _written_out(form: Column) -> Column:
+    short = F.create_map(*[F.lit(x) for pair in SHORT.items() for x in pair])
+    return F.array_distinct(F.array(form, F.array_join(F.transform(F.split(form, " "), lambda t: F.coalesce(short[t], t)), " ")))
+
+
+class Linked:
+    """The result of :func:`group_names`: ``groups`` (``spelling, form, node, cluster, seed``), ``links`` (``item_id, spelling, org_key``)."""
+
+    def __init__(self, groups: DataFrame, links: DataFrame) -> None:
+        self.groups, self.links = groups, links
+
+
+def group_names(named: DataFrame, orgs: DataFrame) -> Linked:
+    """Mentions (``item_id, spelling``) grouped by what they mean, and linked to ``orgs`` (``key, display, kind``) where that is an entry.
 
     Entries with a null key or without any token are never meant; of entries with equal keys the first kind
-    counts. A spelling that can mean several entries equally well is linked only as the module says.
+    counts. A spelling that can mean several entries equally well is linked only where its item names one of them otherwise.
     """
-    spelled = materialise(named.select("item_id", "spelling").distinct().withColumn("form", _form("spelling")).where("form <> ''"))
+    named = named.select("item_id", "spelling").distinct()
+    typed = materialise(named.select("spelling").distinct().withColumn("form", _form("spelling")).where("form <> ''"))
+    spelled = named.join(typed, "spelling")
     entries = orgs.where("key is not null").groupBy("key").agg(F.min_by(F.coalesce("display", "key"), F.coalesce("display", "key")).alias("display"), F.min("kind").alias("kind"))
-    entries = entries.select(F.col("key").alias("org_key"), _form("display").alias("known"), (F.col("kind") == "person").alias("person")).where("known <> ''")
-    # a name is found by its initials and without its trade word, too
-    tokens = F.split("known", " ")
-    initials = F.array_join(F.transform(tokens, lambda t: F.substring(t, 1, 1)), "")
-    shorter = F.array_join(F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(1))), " ")
-    looks = F.array_distinct(F.array("known", F.when(~F.col("person") & (F.size(tokens) > 2), initials), F.when(~F.col("person") & F.size(tokens).between(2, 3), shorter)))
-    sought = materialise(entries.select("org_key", "known", "person", F.explode(F.filter(looks, lambda x: x.isNotNull())).alias("form")).withColumn("look", F.xxhash64("org_key", "form")))
-    forms = materialise(spelled.select("form").distinct().withColumn("id", F.xxhash64("form")))
-    both = forms.select("form").unionByName(sought.select("form"))
-    total = both.count()
-    idf = materialise(both.select(F.explode(F.array_distinct(_grams(F.col("form")))).alias("gram")).groupBy("gram").agg((F.log(F.lit(1.0 + total)) - F.log(F.count("*") + 0.5)).alias("idf")))
-    vectors = materialise(_vectors(forms, idf, "id"))
-    # only the known names' grams can contribute to a product; both sides hold distinct grams of distinct forms
-    products = vectors.join(_vectors(sought, idf, "look").withColumnRenamed("w", "v"), "gram").groupBy("id", "look").agg(F.sum(F.col("w") * F.col("v")).alias("cosine")).where(F.col("cosine") >= LEAST_COSINE)
-    per_entry = products.join(sought.select("look", "org_key", "known", "person"), "look").groupBy("id", "org_key", "known", "person").agg(F.max("cosine").alias("cosine"))
-    nearest = per_entry.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "org_key"))).where(F.col("n") <= top_n)
-    costed = materialise(nearest.join(forms, "id").withColumn("cost", _cost("form", "known", "person")).where("cost is not null").select("id", "form", "org_key", "cosine", "cost"))
-    own = Window.partitionBy("id")
-    least = costed.withColumn("least", F.min("cost").over(own)).where("cost <= least + 0.05").withColumn("choices", F.count("*").over(own)).drop("least")
-    least = materialise(least)
-    clear = least.where("choices = 1").select("id", "org_key")
-    # average linkage: the mean of an entry's unit vectors times a form's vector is the mean of their cosines
-    sizes = clear.groupBy("org_key").agg(F.count("*").alias("size"))
-    means = clear.join(vectors, "id").groupBy("org_key", "gram").agg(F.sum("w").alias("v"))
-    open_forms = least.where("choices > 1").select("id", "org_key")
-    linked = open_forms.join(vectors, "id").join(means, ["org_key", "gram"]).groupBy("id", "org_key").agg(F.sum(F.col("w") * F.col("v")).alias("total")).join(sizes, "org_key")
-    linked = linked.withColumn("mean", F.col("total") / F.col("size")).withColumn("rank", F.row_number().over(own.orderBy(F.desc("mean"), "org_key"))).withColumn("next", F.lead("mean", 1, 0.0).over(own.orderBy(F.desc("mean"), "org_key")))
-    by_linkage = linked.where((F.col("rank") == 1) & (F.col("mean") >= F.col("next") + CLEAR)).select("id", "org_key")
-    decided = materialise(clear.unionByName(by_linkage))
-    at = spelled.withColumn("id", F.xxhash64("form"))
-    sure = materialise(at.join(decided, "id").select("item_id", "spelling", "org_key"))
-    # the rest: the one entry that the item names otherwise
-    rest = at.join(open_forms.join(decided.select("id"), "id", "left_anti"), "id").join(sure.select("item_id", "org_key").distinct(), ["item_id", "org_key"])
+    entries = entries.select(F.col("key").alias("org_key"), _form("display").alias("known"), F.coalesce(F.col("kind") == "person", F.lit(False)).alias("person")).where("known <> ''")
+    entries = materialise(entries.withColumn("node", F.concat(F.lit("\x00"), "org_key")))
+    forms = typed.select("form").distinct()
+    looks = entries.select("node", F.lit(True).alias("entry"), F.explode(_looks(F.col("known"), F.col("person"))).alias("form")).unionByName(forms.select(F.col("form").alias("node"), F.lit(False).alias("entry"), F.explode(_written_out(F.col("form"))).alias("form")))
+    looks = materialise(looks.withColumn("look", F.xxhash64("node", "form")))
+    nodes = looks.select("node", "entry").distinct()
+    state, undecided = average_linkage(nodes, materialise(similar_nodes(looks)))
+    # the exact check: what the cluster says must be readable as the entry
+    said = state.where("seed is not null").select(F.col("node").alias("form"), F.col("seed").alias("node"), F.lit(True).alias("sure")).unionByName(undecided.select(F.col("node").alias("form"), F.col("entry").alias("node"), F.lit(False).alias("sure")))
+    read = materialise(said.join(entries, "node").withColumn("cost", _cost("form", "known", "person")).where("cost is not null").select("form", "org_key", "sure"))
+    at = spelled.join(read, "form")
+    sure = materialise(at.where("sure").select("item_id", "spelling", "org_key"))
+    rest = at.where("not sure").join(sure.select("item_id", "org_key").distinct(), ["item_id", "org_key"])
     by_item = rest.groupBy("item_id", "spelling").agg(F.min("org_key").alias("org_key"), F.count_distinct("org_key").alias("n")).where("n = 1").drop("n")
-    return sure.unionByName(by_item)
+    groups = typed.join(state.select(F.col("node").alias("form"), "cluster"), "form").join(read.where("sure").select("form", "org_key"), "form", "left")
+    return Linked(groups, sure.unionByName(by_item))
+
+
+def link_names(named: DataFrame, orgs: DataFrame) -> DataFrame:
+    """``item_id, spelling, org_key`` of each distinct mention in ``named`` that means an entry of ``orgs``, as :func:`group_names` links them."""
+    return group_names(named, orgs).links
+
+
+def name_groups(named: DataFrame, orgs: DataFrame) -> DataFrame:
+    """``spelling, name, org_key``: one row for each distinct spelling with its group's name, the least form in it, and the entry meant, null where none is.
+
+    Spellings of an entry that the check doesn't let pass are groups of their own, by cluster and without the entry.
+    """
+    groups = group_names(named, orgs).groups
+    return groups.select("spelling", F.min("form").over(Window.partitionBy("cluster", "org_key")).alias("name"), "org_key")

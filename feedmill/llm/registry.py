@@ -55,6 +55,12 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return names.link_names(named, table(spark, d, "orgs"))
 
 
+def p7_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Each distinct spelling with the name of its group and the entry it means, if any; names that are in no list are grouped, too."""
+    named = names.mentions(table(spark, d, "enrichment"), table(spark, d, "entities"))
+    return names.name_groups(named, table(spark, d, "orgs"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode_documents(table(spark, d, "documents"))
 
@@ -77,7 +83,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return garbled.restore(spread(table(spark, d, "documents")))
 
 
-QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p1_found": p1_found, "p4_found": p4_found, "p4_cleaned": p4_cleaned, "p10_found": p10_found, "p10_restored": p10_restored, "p5_found": p5_found, "p6_found": p6_found, "p6_main_text": p6_main_text, "p7_found": p7_found, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_packed": p9_packed}
+QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p1_found": p1_found, "p4_found": p4_found, "p4_cleaned": p4_cleaned, "p10_found": p10_found, "p10_restored": p10_restored, "p5_found": p5_found, "p6_found": p6_found, "p6_main_text": p6_main_text, "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_packed": p9_packed}
 ORACLE = {
     "p4_found": """WITH x AS (SELECT DISTINCT id, source_id, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[ \\t\\r]+', ' ', 'g')) AS line FROM (SELECT id, source_id, unnest(string_split(text, chr(10))) AS line FROM items WHERE source_id IS NOT NULL)),
  t AS (SELECT source_id, count(*) AS total FROM items WHERE source_id IS NOT NULL GROUP BY source_id)

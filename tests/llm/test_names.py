@@ -2,7 +2,7 @@
 
 import pytest
 
-from feedmill.llm.names import edits, form_of, link_names, mentions
+from feedmill.llm.names import edits, form_of, link_names, mentions, name_groups
 
 ORGS = [
     ("rosjing pharma", "Rosjing Pharma", "organisation"), ("zoumfing logistics", "Zoumfing Logistics LLC", "organisation"), ("zoumfing software", "Zoumfing Software", "organisation"),
@@ -36,6 +36,22 @@ def test_item_decides(spark, orgs):
     assert got == {(1, "N.I.O.R."): "national institute for oyster research", (1, "National Institute for Oyster Research"): "national institute for oyster research"}
 
 
+def test_linkage_decides(spark, orgs, monkeypatch):
+    """Without clusters nothing is linked, whatever the exact check says."""
+    monkeypatch.setattr("feedmill.llm.names.LEVELS", (2.0,))
+    named = spark.createDataFrame(list(enumerate(MEANT)), "item_id long, spelling string")
+    assert link_names(named, orgs).collect() == []
+
+
+def test_unknown_names_are_grouped(spark, orgs):
+    variants = [["Baelford Timber", "BAELFORD TIMBER AS", "Timber, Baelford", "Baelfordd Timber"], ["Hjalmar Quistgaard", "Quistgaard, Hjalmar", "Hjalmar Qiustgaard"], ["Rosjing Pharma", "ROSJJING PHARMA"]]
+    named = spark.createDataFrame([(k, s) for k, g in enumerate(variants) for s in g], "item_id long, spelling string")
+    rows = {r.spelling: (r.name, r.org_key) for r in name_groups(named, orgs).collect()}
+    assert len(rows) == 9
+    assert [len({rows[s] for s in g}) for g in variants] == [1, 1, 1] and len(set(rows.values())) == 3
+    assert rows["Rosjing Pharma"][1] == "rosjing pharma" and rows["Baelford Timber"][1] is None
+
+
 def test_mentions(spark):
     e = spark.createDataFrame([(1, '["A", "B", "A"]'), (2, "["), (3, ""), (4, None), (5, "null"), (6, '[null, " "]')], "item_id long, orgs string")
     n = spark.createDataFrame([(1, "k", "A"), (7, "k", None), (8, None, None), (9, None, "")], "item_id long, key string, name string")
