@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass, field
 
@@ -9,23 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedmill.functions import text as X
-from feedmill.session import materialise
-
-# A small vocabulary over the tables' prose: facet, term, words that name it. Facet "theme" is asked for as "themes", "region" as "regions".
-VOCABULARY = (
-    ("theme", "fish", ("trout", "smolt", "hatchery", "salmon grower", "fish farm")),
-    ("theme", "energy", ("megawatts", "grid owner", "wind developer", "cooling loop")),
-    ("theme", "transport", ("ferry operator", "cable route", "toll bridge", "bus company", "vessels")),
-    ("theme", "money", ("pension fund", "bond offering", "shares", "minority stake", "loan guarantee")),
-    ("region", "north", ("north of",)),
-    ("region", "south", ("south of",)),
-    ("region", "near", ("near", "close to", "outside")),
-)
+
 _IN_WORD, _NOT_WORD = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]"
 FACET_KEYS = {"theme": "themes", "region": "regions"}
+FAVOURITES, ARCHIVE = "favourites", "archive"
 
 
-def tag(docs: DataFrame, terms=VOCABULARY, id_col: str = "id", text_col: str = "text") -> DataFrame:
+def tag(docs: DataFrame, terms, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """``id_col, facet, term, hits, score``: how often the words of each term stand in a text, as whole words in any case.
 
     ``terms``: facet, term and its aliases of one or two words; a pack has a few hundred, which go into the
@@ -71,11 +62,21 @@ class Filter:
     min_impact: float = 0.0
     breakthrough: bool = False
     off_topic: str = "hide"
+    ids: tuple[int, ...] = ()
+    last_days: int = 0
+    as_of: str | None = None
+    unread: bool = False
+    starred: bool = False
+    archived: bool = False
+    collection: str | None = None
+    entities: tuple[str, ...] = ()
 
     @classmethod
     def read(cls, given: dict) -> Filter:
         """From a dictionary; falsy values don't narrow, unknown fields and facet keys are errors."""
         given = {k: v for k, v in given.items() if v}
+        if "entities" in given:
+            given["entities"] = [e.lower().replace("_", " ").strip() for e in given["entities"]]
         facets = {k: tuple(given.pop(k)) for k in list(given) if k in FACET_KEYS.values()}
         if unknown := set(given) - set(cls.__dataclass_fields__):
             raise UnknownFilter(f"unknown: {', '.join(sorted(unknown))}")
@@ -87,7 +88,7 @@ class Filter:
     def condition(self) -> Column:
         """The part that the row itself decides."""
         tests = [F.lit(True)]
-        for name, wanted in (("item_type", self.item_types), ("content_class", self.content_classes), ("lang", self.languages), ("source_id", self.source_ids)):
+        for name, wanted in (("item_type", self.item_types), ("content_class", self.content_classes), ("lang", self.languages), ("source_id", self.source_ids), ("id", self.ids)):
             if wanted:
                 tests.append(F.col(name).isin(*wanted))
         if self.source_tags:
@@ -96,6 +97,12 @@ class Filter:
             tests.append(F.col("seen_at") >= F.lit(self.since).cast("timestamp"))
         if self.until:
             tests.append(F.col("seen_at") < F.lit(self.until).cast("timestamp"))
+        if self.last_days:
+            if not self.as_of:
+                raise UnknownFilter("last_days needs as_of")
+            tests.append(F.col("seen_at") >= F.lit(self.as_of).cast("timestamp") - F.expr(f"INTERVAL {int(self.last_days)} DAYS"))
+        if self.unread:
+            tests.append(F.col("read_at").isNull())
         if self.min_impact:
             tests.append(F.coalesce("impact_score", F.lit(0.0)) >= self.min_impact)
         if self.breakthrough:
@@ -107,34 +114,69 @@ class Filter:
             result = result & t
         return result
 
-    def apply(self, rows: DataFrame, tags: DataFrame) -> DataFrame:
-        """``rows`` (with ``id``) narrowed; one semi-join with ``tags`` (``id, facet, term``) for each facet key."""
+    def apply(self, rows: DataFrame, tags: DataFrame, members: DataFrame | None = None, entities: DataFrame | None = None) -> DataFrame:
+        """``rows`` (with ``id``) narrowed; one semi-join with ``tags`` (``id, facet, term``) for each facet key.
+
+        members: ``collection, id``, for ``collection``, ``starred`` (in the collection FAVOURITES) and ``archived``
+        (in ARCHIVE, which is hidden unless asked for). entities: ``id, entity``, for ``entities``.
+        """
         rows = rows.where(self.condition())
         facet_of = {key: facet for facet, key in FACET_KEYS.items()}
         for key, wanted in self.facets.items():
             rows = rows.join(tags.where((F.col("facet") == facet_of[key]) & F.col("term").isin(*wanted)).select("id"), "id", "left_semi")
+        if entities is not None and self.entities:
+            rows = rows.join(entities.where(F.col("entity").isin(*self.entities)).select("id"), "id", "left_semi")
+        if members is not None:
+            for name in filter(None, (self.collection, FAVOURITES if self.starred else None)):
+                rows = rows.join(members.where(F.col("collection") == name).select("id"), "id", "left_semi")
+            rows = rows.join(members.where(F.col("collection") == ARCHIVE).select("id"), "id", "left_semi" if self.archived else "left_anti")
         return rows
 
 
-def feed_rows(items: DataFrame, sources: DataFrame, enrichment: DataFrame) -> DataFrame:
-    """Items with what their source and their enrichment say; ``seen_at`` is the time of fetching, ``source_tags`` an array."""
+def feed_rows(items: DataFrame, sources: DataFrame, enrichment: DataFrame, reads: DataFrame | None = None) -> DataFrame:
+    """Items with what their source and their enrichment say; ``seen_at`` is the time of fetching, ``source_tags`` an array.
+
+    reads: ``id, read_at``, one row for each item read; adds ``read_at``, null where unread.
+    """
     s = sources.select(F.col("id").alias("source_id"), F.col("name").alias("source"), "trust", F.from_json("tags", "array<string>").alias("source_tags"))
     e = enrichment.select(F.col("item_id").alias("id"), "headline", "summary", "item_type", "content_class", "significance", "breakthrough", "impact_score", "confidence", F.col("orgs").alias("orgs_json"))
     i = items.select("id", "source_id", "url", "url_key", "title", "text", "excerpt", "lang", "word_count", "enrich_state", F.col("fetched_at").alias("seen_at"))
-    return i.join(s, "source_id", "left").join(e, "id", "left")
+    rows = i.join(s, "source_id", "left").join(e, "id", "left")
+    return rows if reads is None else rows.join(reads.select("id", "read_at"), "id", "left")
 
 
 def facet_counts(rows: DataFrame, tags: DataFrame, narrowed: Filter) -> DataFrame:
-    """``facet, term, n``: the rows under each term, for each facet counted without its own selection."""
-    tags = materialise(tags)  # every facet reads them twice
-    parts = []
-    for facet, key in FACET_KEYS.items():
-        kept = narrowed.without(key).apply(rows, tags).select("id")
-        parts.append(tags.where(F.col("facet") == facet).join(kept, "id", "left_semi").groupBy("facet", "term").agg(F.count_distinct("id").alias("n")))
-    result = parts[0]
-    for p in parts[1:]:
-        result = result.unionByName(p)
-    return result
+    """``facet, term, n``: the rows under each term, for each facet counted without its own selection.
+
+    One pass over the tags and one over the rows: each row has a bit for each facet's selection, and a term counts where all
+    bits but its own facet's are set.
+    """
+    facet_of = {key: facet for facet, key in FACET_KEYS.items()}
+    bits = {facet_of[key]: F.max((F.col("facet") == facet_of[key]) & F.col("term").isin(*wanted)).alias(f"in_{facet_of[key]}") for key, wanted in narrowed.facets.items()}
+    tagged = tags.groupBy("id").agg(F.collect_set(F.struct("facet", "term")).alias("have"), *bits.values())
+    kept = tagged.join(rows.where(narrowed.condition()).select("id"), "id", "left_semi").select(F.explode("have").alias("t"), *[f"in_{f}" for f in bits])
+    open_ = F.lit(True)
+    for f in bits:
+        open_ = open_ & ((F.col("t.facet") == f) | F.col(f"in_{f}"))
+    return kept.where(open_).groupBy("t.facet", "t.term").agg(F.count("*").alias("n"))
+
+
+def top_terms(counts: DataFrame, most: int = 5) -> DataFrame:
+    """``facet, terms``: the ``most`` greatest terms of each facet, by count and then name."""
+    order = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "term")))
+    return counts.groupBy("facet").agg(F.transform(F.slice(order, 1, most), lambda t: t["term"]).alias("terms"))
+
+
+def tag_map(tags: DataFrame) -> DataFrame:
+    """``id, tags``: each item's terms by facet."""
+    have = tags.groupBy("id").agg(F.collect_set(F.struct("facet", "term")).alias("have"))
+    of = lambda f: F.transform(F.filter("have", lambda t: t["facet"] == f), lambda t: t["term"])
+    return have.select("id", F.create_map(*[x for f in FACET_KEYS for x in (F.lit(f), of(f))]).alias("tags"))
+
+
+def _says(p: str) -> Column:
+    """Whether the lower-case haystack has the phrase as whole words; the plain search spares most rows the pattern."""
+    return F.contains(F.col("haystack"), F.lit(p.lower())) & X.phrase(F.col("haystack"), p)
 
 
 @dataclass(frozen=True)
@@ -151,6 +193,17 @@ class Rule:
     item_types: tuple[str, ...] = ()
     languages: tuple[str, ...] = ()
 
+    @classmethod
+    def read(cls, topic: str, rule: str) -> Rule:
+        """From JSON with the fields' names; unknown fields and facets are errors, and so is a rule that asks for nothing."""
+        given = json.loads(rule)
+        if unknown := (set(given) - set(cls.__dataclass_fields__)) | (set(given.get("facets", {})) - set(FACET_KEYS)):
+            raise UnknownFilter(f"unknown: {', '.join(sorted(unknown))}")
+        made = cls(topic, **{k: {f: tuple(t) for f, t in v.items()} if k == "facets" else tuple(v) if isinstance(v, list) else v for k, v in given.items()})
+        if not made.positive:
+            raise UnknownFilter(f"{topic}: a rule must ask for something")
+        return made
+
     @property
     def positive(self) -> bool:
         """Whether it asks for anything; a rule that doesn't would match the whole corpus and is never routed."""
@@ -160,7 +213,7 @@ class Rule:
         """(matches, score, reasons) over ``haystack``, ``tags`` (map of facet to terms), ``entities`` (array), ``lang``, ``item_type``, ``impact_score``."""
         impact = F.coalesce("impact_score", F.lit(0.0))
         score, why = F.least(F.lit(2.0), impact / 50.0), []
-        gates = [~X.phrase(F.col("haystack"), p) for p in self.exclude]
+        gates = [~_says(p) for p in self.exclude]
         if self.item_types:
             gates.append(F.coalesce(F.col("item_type").isin(*self.item_types), F.lit(False)))
         if self.languages:
@@ -176,11 +229,11 @@ class Rule:
             score = score + worth * F.size(hit)
             why.append(F.concat(F.lit(label), F.array_join(hit, ",")))
         for p in self.require:
-            gates.append(X.phrase(F.col("haystack"), p))
+            gates.append(_says(p))
             score = score + 1.5
             why.append(F.lit(f"require:{p}"))
         if self.include:
-            fired = F.filter(F.array(*[F.when(X.phrase(F.col("haystack"), p), F.lit(p)) for p in self.include]), lambda x: x.isNotNull())
+            fired = F.filter(F.array(*[F.when(_says(p), F.lit(p)) for p in self.include]), lambda x: x.isNotNull())
             gates.append(F.size(fired) > 0)
             score = score + F.size(fired)
             why.append(F.concat(F.lit("include:"), F.array_join(fired, ",")))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedmill.functions import text as X
-from feedmill.operators import dedup, feed, search, simhash
+from feedmill.operators import dedup, feed, packs, search, simhash
 from feedmill.session import materialise
 from feedmill.tables import spread, table
 
@@ -31,10 +33,11 @@ def _rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _tags(spark: SparkSession, d: str) -> DataFrame:
-    return feed.tag(spread(table(spark, d, "items")))
+    return packs.tags_of(spread(table(spark, d, "items")), PACK)
 
 
-_VOCABULARY_SQL = ", ".join(f"('{f}', '{t}', '{a}')" for f, t, names in feed.VOCABULARY for a in names)
+PACK = packs.read_packs(os.path.dirname(__file__))["harbour"]
+_VOCABULARY_SQL = ", ".join(f"('{f}', '{t}', '{a}')" for f, t, names in PACK.terms() for a in names)
 _ROWS_SQL = """rows AS (SELECT i.id, i.source_id, i.url, i.url_key, i.title, i.text, i.excerpt, i.lang, i.word_count, i.enrich_state, i.fetched_at AS seen_at, s.name AS source, s.trust, s.tags,
  e.headline, e.summary, e.item_type, e.content_class, e.significance, e.breakthrough, e.impact_score, e.confidence
  FROM items i LEFT JOIN sources s ON s.id = i.source_id LEFT JOIN enrichment e ON e.item_id = i.id)"""
@@ -127,7 +130,7 @@ _ROUTE_SQL = f"""WITH {_ROWS_SQL}, {_TAGS_SQL}, per AS (SELECT id, list(term) FI
 
 
 def _routed(spark: SparkSession, d: str) -> DataFrame:
-    per = _tags(spark, d).groupBy("id", "facet").agg(F.collect_set("term").alias("terms")).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("facet", "terms"))).alias("tags"))
+    per = feed.tag_map(_tags(spark, d))
     rows = _rows(spark, d).join(per, "id", "left").withColumn("haystack", X.haystack(*map(F.col, ("title", "headline", "summary", "text")))).withColumn("entities", F.array().cast("array<string>"))
     return feed.route(rows, _RULES)
 
