@@ -2,8 +2,9 @@
 
 Spellings are reduced to forms (distinct, so each is worked on once). Forms and entries are nodes; each has a
 few looks (a form as typed and with its short words written out; an entry by its initials, without its trade word, with a pet name or
-an initial), and a look is a weighted vector of character 3-grams. A sparse join on the grams with a sum combined before the shuffle
-gives all pairs of nodes with a cosine of EDGE or more; no count of partners is set. Average-linkage clustering then
+an initial), and a look is a weighted vector of character 3-grams. A sparse join on the grams gives all pairs of a form and an entry with a
+cosine of EDGE or more, and of two forms with FORM_EDGE or more: of each vector only those grams are joined, the rarest, that a
+partner so similar can't do without, so that no pair is lost and no count of partners is set. Average-linkage clustering then
 merges the nodes from the most similar down to LEVELS' last; clusters with different entries never merge, and a cluster that two
 entries attract about equally waits. So a form means the entry of its cluster, and what is in no entry's cluster forms groups of
 unknown names. An exact check by tokens follows (typing errors, abbreviations, initials, nicknames, order,
@@ -18,6 +19,7 @@ import unicodedata
 from functools import reduce
 from itertools import chain, repeat
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,9 +27,9 @@ from pyspark.sql import types as T
 
 from feedmill.session import materialise
 
-#: The least cosine of two nodes that counts, the levels of average linkage, and the lead that the nearer of two entries needs.
-EDGE = 0.3
-LEVELS = (0.9, 0.75, 0.6, 0.45, 0.3)
+#: The least cosine of a form and an entry, and of two forms, that counts, the levels of average linkage, and the lead that the nearer of two entries needs.
+EDGE, FORM_EDGE = 0.3, 0.5
+LEVELS = (0.9, 0.75, 0.6, 0.45, 0.3, 0.2, 0.1)
 CLEAR = 0.02
 
 # Words that add nothing to a name, shortened words and pet names.
@@ -162,12 +164,45 @@ def _vectors(looks: DataFrame) -> DataFrame:
     return weighted.join(norms, "look").select("look", "gram", (F.col("w") / F.col("norm")).alias("w"))
 
 
+@F.pandas_udf(T.DoubleType())
+def _dots(l_ids: pd.Series, l_ws: pd.Series, r_ids: pd.Series, r_ws: pd.Series) -> pd.Series:
+    """The products of sparse vectors, given as sorted numbers of grams and their weights; all rows of a batch at once."""
+    if not len(l_ids):
+        return pd.Series([], dtype=float)
+
+    def flat(ids: pd.Series, ws: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row = np.repeat(np.arange(len(ids)), ids.map(len))
+        return row, (row.astype(np.int64) << 40) + np.concatenate(ids.to_numpy()), np.concatenate(ws.to_numpy())
+
+    row, left, w = flat(l_ids, l_ws)
+    _, right, v = flat(r_ids, r_ws)
+    at = np.minimum(np.searchsorted(right, left), len(right) - 1)
+    same = right[at] == left
+    return pd.Series(np.bincount(row[same], weights=w[same] * v[at[same]], minlength=len(l_ids)))
+
+
 def similar_nodes(looks: DataFrame) -> DataFrame:
-    """``a, b, cosine`` of all pairs of nodes with looks (``node, look, form, entry``) whose cosine is EDGE or more, a < b; two entries are no pair."""
-    vectors = materialise(_vectors(looks).join(looks.select("look", "node", "entry"), "look"))
-    met = vectors.alias("x").join(vectors.alias("y"), "gram").where("x.look < y.look and x.node <> y.node and not (x.entry and y.entry)")
-    products = met.groupBy(F.col("x.look"), F.col("y.look"), F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).agg(F.sum(F.col("x.w") * F.col("y.w")).alias("cosine"))
-    return products.where(F.col("cosine") >= EDGE).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+    """``a, b, cosine`` of all pairs of nodes with looks (``node, look, form, entry``), a < b, whose cosine is EDGE or more where one is an entry, FORM_EDGE or more where none is; two entries are no pair."""
+    vectors = materialise(_vectors(looks).join(looks.select("look", "entry"), "look").withColumn("gram", F.xxhash64("gram").bitwiseAND(F.lit((1 << 40) - 1))))
+    common = Window.partitionBy("look").orderBy("w", "gram").rowsBetween(Window.unboundedPreceding, 0)
+    massed = materialise(vectors.withColumn("mass", F.sum(F.col("w") * F.col("w")).over(common)).select("look", "entry", "gram", "mass"))
+
+    def needed(edge: float, entry: bool) -> DataFrame:
+        # the commonest grams that together have less than the edge of the length can't make that cosine alone
+        return massed.where((F.col("entry") == F.lit(entry)) & (F.col("mass") >= edge * edge * 0.999)).select("look", "gram")
+
+    meet = lambda x, y: x.withColumnRenamed("look", "l").join(y.withColumnRenamed("look", "r"), "gram").select("l", "r")
+    with_entry = meet(needed(EDGE, False), needed(EDGE, True)).distinct().withColumn("least", F.lit(EDGE))
+    forms = meet(needed(FORM_EDGE, False), needed(FORM_EDGE, False)).where("l < r").distinct().withColumn("least", F.lit(FORM_EDGE))
+    whole = vectors.groupBy("look").agg(F.array_sort(F.collect_list(F.struct("gram", F.col("w").cast("float").alias("w")))).alias("v")).select("look", F.col("v.gram").alias("ids"), F.col("v.w").alias("ws"))
+    whole = materialise(whole)
+    met = with_entry.unionByName(forms)
+    for side in ("l", "r"):
+        met = met.join(whole.select(F.col("look").alias(side), F.col("ids").alias(f"ids_{side}"), F.col("ws").alias(f"ws_{side}")), side)
+    near = met.select("l", "r", "least", _dots("ids_l", "ws_l", "ids_r", "ws_r").alias("cosine")).where(F.col("cosine") >= F.col("least"))
+    for side in ("l", "r"):
+        near = near.join(looks.select(F.col("look").alias(side), F.col("node").alias(f"node_{side}")), side)
+    return near.where("node_l <> node_r").select(F.least("node_l", "node_r").alias("a"), F.greatest("node_l", "node_r").alias("b"), "cosine").groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
 
 
 def average_linkage(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
