@@ -287,3 +287,86 @@ def open_streaks(log: DataFrame, by: str, order: list[str], bad: Column) -> Data
     rows = log.select(by, F.struct(*order).alias("at"), bad.alias("bad"))
     good = rows.groupBy(by).agg(F.max(F.when(~F.col("bad"), F.col("at"))).alias("last_good"))
     return rows.join(good, by).groupBy(by).agg(F.count_if(F.col("bad") & (F.col("last_good").isNull() | (F.col("at") > F.col("last_good")))).alias("streak"))
+
+
+def page(rows: DataFrame, order: list[Column], size: int, offset: int = 0) -> DataFrame:
+    """A page of ``rows`` with ``total``, the number of rows on all pages; the count is one combined number and sorts nothing."""
+    total = rows.agg(F.count("*").alias("total"))
+    return rows.orderBy(*order).offset(offset).limit(size).join(F.broadcast(total))
+
+
+def first_reads(log: DataFrame) -> DataFrame:
+    """``id, read_at``: the first time of each item read; reading again changes nothing."""
+    return log.groupBy("id").agg(F.min("read_at").alias("read_at"))
+
+
+def weak_matches(routed: DataFrame, seeds: tuple[str, ...]) -> DataFrame:
+    """The routed rows that fired by included words none of which is a seed of the topic."""
+    fired = F.split(F.regexp_extract("why", "include:([^;]*)", 1), ",")
+    return routed.where(F.col("why").contains("include:") & ~F.arrays_overlap(fired, F.array(*map(F.lit, seeds))))
+
+
+def first_of(rows: DataFrame, by: list[str], value: str, most: int, name: str) -> DataFrame:
+    """``by, name``: the ``most`` least values of each group as an array; more never come together in one task's memory."""
+    ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy(value))).where(F.col("n") <= most)
+    return ranked.groupBy(*by).agg(F.array_sort(F.collect_list(value)).alias(name))
+
+
+def listing(rows: DataFrame, by: str, most: int) -> DataFrame:
+    """``by, listing``: the first ``most`` rows (``id, title``) of each group as numbered lines, as evidence for a reader or a judge."""
+    ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy("id"))).where(F.col("n") <= most)
+    lines = F.array_sort(F.collect_list(F.struct("id", F.format_string("[%d] %s", "id", "title").alias("line"))))
+    return ranked.groupBy(by).agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("listing"))
+
+
+def preferred(texts: DataFrame, language: str) -> DataFrame:
+    """``id, lang, body``: of each item's texts the one in the language, else the first by language; combined before the shuffle."""
+    return texts.groupBy("id").agg(F.min_by(F.struct("lang", "body"), F.struct(F.col("lang") != language, "lang")).alias("best")).select("id", "best.*")
+
+
+def not_older(rows: DataFrame, day: str, today: Column, most: int) -> DataFrame:
+    """Rows of at most so many days, and undated ones."""
+    return rows.where(F.col(day).isNull() | (F.col(day) >= F.date_sub(today, most)))
+
+
+def holding(rows: DataFrame, phrases: DataFrame, key: str) -> DataFrame:
+    """``key, id`` of the ``rows`` (``id, hay``) whose text contains a phrase (``key, phrase``), both in lower case.
+
+    Rows and phrases meet in an equi-join, and only then is the phrase looked for: a phrase of three or more words meets
+    the rows that have its longest inner word, which stands between blanks in the text, too; a shorter one those that have its first
+    three characters. Phrases of fewer than three characters name nothing.
+    """
+    words = F.split("phrase", " ")
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    named = phrases.where(F.length("phrase") >= 3).select(key, "phrase", F.nullif(longest, F.lit("")).alias("word"))
+    whole = named.where("word is not null")
+    parts = named.where("word is null").withColumn("word", F.substring("phrase", 1, 3))
+    cuts = F.transform(F.sequence(F.lit(1), F.greatest(F.length("hay") - 2, F.lit(1))), lambda i: F.substring("hay", i, F.lit(3)))
+    met = []
+    for sought, found in ((whole, F.split("hay", " ")), (parts, cuts)):
+        at = rows.select("id", F.explode(F.array_distinct(found)).alias("word")).join(sought, "word")
+        met.append(at.select("id", key, "phrase"))
+    near = met[0].unionByName(met[1]).join(rows.select("id", "hay"), "id")
+    return near.where(F.contains("hay", F.col("phrase"))).select(key, "id").distinct()
+
+
+def after_run(sources: DataFrame, streaks: DataFrame, fresh: DataFrame) -> DataFrame:
+    """``id, streak, enabled, items_total`` of sources after a run: disabled from four errors in succession on, new items counted up."""
+    joined = sources.select("id", "enabled", "items_total").join(streaks.select(F.col("source_id").alias("id"), "streak"), "id", "left").join(fresh.select(F.col("source_id").alias("id"), "fresh"), "id", "left")
+    streak = F.coalesce("streak", F.lit(0))
+    return joined.select("id", streak.alias("streak"), (F.col("enabled") & (streak < 4)).alias("enabled"), (F.coalesce("items_total", F.lit(0)) + F.coalesce("fresh", F.lit(0))).alias("items_total"))
+
+
+def replaced(old: DataFrame, new: DataFrame, scope: DataFrame) -> DataFrame:
+    """``old`` without the rows of the ids in ``scope``, and ``new``."""
+    return old.join(scope.select("id"), "id", "left_anti").unionByName(new)
+
+
+def item_structs(rows: DataFrame, languages: tuple[str, ...], wanted: tuple[str, ...] = ("headline", "brief", "full")) -> DataFrame:
+    """``id, item`` of rows in the languages: a struct as a feed hands it out, with the wanted renditions and their price in tokens; empty renditions are left out."""
+    texts = {"headline": X.first_text(F.col("headline"), F.col("title")), "brief": X.first_text(F.col("summary"), F.col("excerpt")), "full": F.nullif("text", F.lit(""))}
+    priced = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(k).alias("key"), F.struct(texts[k].alias("text"), X.estimate_tokens(texts[k]).alias("tokens")).alias("value")) for k in wanted]), lambda e: e["value"]["text"].isNotNull()))
+    sure = F.when(F.col("published_at").rlike(r"^\d{4}-\d{2}-\d{2}T"), "exact").when(F.col("published_at").isNull(), "none").otherwise("read")
+    item = F.struct("url", X.first_text(F.col("headline"), F.col("title"), F.col("url")).alias("title"), sure.alias("date_confidence"), "significance", F.col("impact_score").alias("impact"), priced.alias("renditions"), F.struct("source").alias("provenance"))
+    return rows.where(F.coalesce("lang", F.lit("")).isin(*languages)).select("id", item.alias("item"))

@@ -7,9 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedmill.session import materialise
+
 K1, B = 1.2, 0.75
-#: Query terms up to this number are compared in place; beyond it they are joined.
-MOST_TERMS = 10_000
 
 
 def tokens(text: Column) -> Column:
@@ -38,9 +38,8 @@ def bm25(docs: DataFrame, queries: DataFrame, weights: dict[str, float], id_col:
     sized = split.select("id", ends.alias("length"), *[b.alias(f"end{k}") for k, b in enumerate(bounds)], F.concat(*[f"w{k}" for k in range(len(lists))]).alias("all"))
     whole = sized.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     found = sized.select("id", "length", *[f"end{k}" for k in range(len(lists))], F.posexplode("all").alias("place", "term")).select("id", "length", "term", weight.alias("w"))
-    asked = [r.term for r in named.select("term").distinct().limit(MOST_TERMS + 1).collect()]
-    # few terms go into the scan's expression, so that the other words never move; many are a join
-    found = found.where(F.col("term").isin(asked)) if len(asked) <= MOST_TERMS else found.join(named.select("term").distinct(), "term", "left_semi")
+    # Spark broadcasts the terms while they are few, so that the other words never move
+    found = found.join(named.select("term").distinct(), "term", "left_semi")
     postings = found.groupBy("term", "id").agg(F.sum("w").alias("f"), F.first("length").alias("length"))
     spread = postings.groupBy("term").agg(F.count("*").alias("df"))
     # the totals are one row, whatever the corpus
@@ -90,3 +89,65 @@ def fuse(*ranked: DataFrame, k: int = 60) -> DataFrame:
     for p in parts[1:]:
         union = union.unionByName(p)
     return union.groupBy("query", "id").agg(F.sum("part").alias("score"))
+
+
+def parsed_queries(queries: DataFrame) -> DataFrame:
+    """``query, part, phrase`` of ``query`` (text): its quoted phrases as words with a blank between them, and its other words of two letters or more, which stand for all words that begin so."""
+    text = F.lower(F.coalesce("query", F.lit("")))
+    clean = lambda t: F.array_join(tokens(t), " ")
+    phrases = F.transform(F.regexp_extract_all(text, F.lit('"([^"]+)"'), F.lit(1)), lambda p: F.struct(clean(p).alias("part"), F.lit(True).alias("phrase")))
+    words = F.transform(F.filter(tokens(F.regexp_replace(text, '"[^"]*"', " ")), lambda w: F.length(w) > 1), lambda w: F.struct(w.alias("part"), F.lit(False).alias("phrase")))
+    return queries.select("query", F.explode(F.array_distinct(F.concat(phrases, words))).alias("p")).select("query", "p.part", "p.phrase").where("part <> ''")
+
+
+def keyword_search(docs: DataFrame, queries: DataFrame, weights: dict[str, float], id_col: str = "id") -> DataFrame:
+    """``query, id, score``: BM25 over weighted columns with phrases and beginnings of words; documents with every part of a query, or, where there are none, with any.
+
+    A part's frequency in a document is the weighted number of words that begin with it, or of places where the phrase stands; its
+    document frequency counts the documents with any. Statistics are those of ``docs``, so a narrowed set is ranked within itself.
+    Parts meet words by their first two letters, and phrases documents by their first word, in equi-joins.
+    """
+    parts = parsed_queries(queries)
+    sizes = parts.groupBy("query").agg(F.count("*").alias("parts"))
+    lists = docs.select(F.col(id_col).alias("id"), *[tokens(F.col(c)).alias(f"w{k}") for k, c in enumerate(weights)])
+    length = sum((F.size(f"w{k}") for k in range(len(weights))), F.lit(0))
+    counted = lists.select("id", length.alias("length"), *[f"w{k}" for k in range(len(weights))])
+    whole = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+
+    def weighed(k: int, weight: float) -> Column:
+        return F.transform(f"w{k}", lambda w: F.struct(w.alias("word"), F.lit(weight).alias("w")))
+
+    each = F.flatten(F.array(*[weighed(k, float(x)) for k, x in enumerate(weights.values())]))
+    words = counted.select("id", "length", F.explode(each).alias("e")).select("id", "length", "e.word", "e.w")
+    begun = parts.where("not phrase").select("part").distinct()
+    heads = begun.select(F.substring("part", 1, 2).alias("head"), "part")
+    # the other words never move: only those with some part's first two letters are left before the sum
+    hits = words.withColumn("head", F.substring("word", 1, 2)).join(heads, "head").where(F.startswith("word", F.col("part"))).groupBy("part", "id").agg(F.sum("w").alias("f"), F.first("length").alias("length")).withColumn("phrase", F.lit(False))
+    named = parts.where("phrase").select("part", F.split("part", " ").alias("ws")).distinct()
+    places = lambda k: F.size(F.filter(F.transform(f"w{k}", lambda w, i: F.slice(F.col(f"w{k}"), i + 1, F.size("ws"))), lambda run: run == F.col("ws")))
+    f = sum((places(k) * float(x) for k, x in enumerate(weights.values())), F.lit(0.0))
+    first = counted.select("id", F.explode(F.array_distinct(F.concat(*[f"w{k}" for k in range(len(weights))]))).alias("first")).join(named.withColumn("first", F.get("ws", F.lit(0))), "first").select("id", "part", "ws")
+    spoken = first.join(counted, "id").select("part", "id", f.alias("f"), "length", F.lit(True).alias("phrase")).where("f > 0")
+    postings = hits.select("part", "id", "f", "length", "phrase").unionByName(spoken)
+    spread = postings.groupBy("part", "phrase").agg(F.count("*").alias("df"))
+    weighted = postings.join(spread, ["part", "phrase"]).withColumn("one", F.lit(1)).join(F.broadcast(whole.withColumn("one", F.lit(1))), "one")
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    gain = F.when(idf > 0, idf).otherwise(1e-6) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    scored = weighted.select("part", "phrase", "id", gain.alias("gain")).join(parts, ["part", "phrase"]).groupBy("query", "id").agg(F.sum("gain").alias("score"), F.count("*").alias("hit")).join(sizes, "query")
+    every = scored.groupBy("query").agg(F.max(F.col("hit") == F.col("parts")).alias("strict"))
+    return scored.join(every, "query").where("not strict or hit = parts").select("query", "id", "score")
+
+
+def hybrid(docs: DataFrame, queries: DataFrame, vectors: DataFrame, weights: dict[str, float], size: int = 20, pool: int = 60) -> DataFrame:
+    """``query, id, score, place``: a page of keyword and vector ranks fused within ``docs``, then put in the order of ``seen_at``, the newest first.
+
+    docs: ``id, seen_at`` and the columns of ``weights``, narrowed already. vectors: ``id, vec``. A query's vector is that of its best keyword hit that
+    has one, so a query without hits has no page. Each list gives its ``pool`` best.
+    """
+    hits = materialise(keyword_search(docs, queries, weights))
+    inside = materialise(vectors.join(docs.select("id"), "id", "left_semi"))
+    best = hits.join(inside, "id").groupBy("query").agg(F.min_by("vec", F.struct(-F.col("score"), "id")).alias("vec"))
+    numbered = best.select(F.xxhash64("query").alias("number"), "query", "vec")
+    near = nearest_vectors(inside, numbered.select(F.col("number").alias("query"), "vec"), pool).withColumnRenamed("query", "number").join(numbered.select("number", "query"), "number")
+    fused = top(fuse(top(hits, pool), near.select("query", "id", "rank")).withColumn("score", F.round("score", 9)), size).join(docs.select("id", "seen_at"), "id")
+    return fused.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("seen_at"), "id"))).select("query", "id", "score", "place")

@@ -44,3 +44,58 @@ def items_of_envelopes(envelopes: DataFrame) -> DataFrame:
         "i.id", "i.url", X.first_text(headline, F.col("i.title"), F.col("i.url")).alias("title"), "i.published_at", text.alias("text"),
         F.substring(F.coalesce(X.first_text(brief, abstract), F.lit("")), 1, 1200).alias("excerpt"), F.when(text != "", "full").otherwise("metadata_only").alias("state"),
     )
+
+
+PMC = "resultList struct<result: array<struct<id: string, source: string, pmid: string, doi: string, title: string, authorString: string, abstractText: string, firstPublicationDate: string, pubYear: string, citedByCount: bigint, fullTextUrlList: struct<fullTextUrl: array<struct<url: string>>>, journalInfo: struct<journal: struct<title: string>>>>>"
+
+
+def read_pmc(spark: SparkSession, path: str) -> DataFrame:
+    """Raw items of a life-science index's JSON pages: linked by DOI, else by full text, else by the index's own page; the abstract is the text."""
+    r = spark.read.schema(PMC).option("multiLine", True).json(path).select(F.explode("resultList.result").alias("r"))
+    abstract = F.coalesce(X.clean_html(F.col("r.abstractText")), F.lit(""))
+    link = F.coalesce(F.concat(F.lit("https://doi.org/"), F.nullif("r.doi", F.lit(""))), F.get("r.fullTextUrlList.fullTextUrl", F.lit(0))["url"], F.concat(F.lit("https://europepmc.org/article/"), F.coalesce("r.source", F.lit("MED")), F.lit("/"), F.coalesce("r.id", F.lit(""))))
+    return r.select(
+        link.alias("url"), F.rtrim(X.clean_html(F.col("r.title")), F.lit(".")).alias("title"), X.first_text(F.col("r.firstPublicationDate"), F.col("r.pubYear")).alias("published_at"), F.col("r.authorString").alias("author"), abstract.alias("text"), F.substring(abstract, 1, 600).alias("excerpt"), "r.doi",
+        F.when(abstract != "", "full").otherwise("metadata_only").alias("content_state"),
+        F.to_json(F.struct(F.col("r.journalInfo.journal.title").alias("journal"), (F.col("r.source") == "PPR").alias("is_preprint"), F.coalesce("r.citedByCount", F.lit(0)).alias("citations"), "r.pmid")).alias("extra"),
+    )
+
+
+def body_state(content_state: Column, text: Column, excerpt: Column) -> Column:
+    """What becomes of a raw item's body: kept where it is metadata only or long already, full from 60 words on, else paywalled with an excerpt and failed without."""
+    n = X.word_count(text)
+    return F.when((F.coalesce(content_state, F.lit("")) == "metadata_only") | (n > 150), "kept").when(n >= 60, "full").when(F.coalesce(excerpt, F.lit("")) != "", "paywalled").otherwise("failed")
+
+
+def plausible_page_date(day: Column, today: Column) -> Column:
+    """A page's own date, null where it is out of bounds or a placeholder's: before 1996, after next year, or 1 January of 2000 or 2001."""
+    year = F.year(day)
+    placeholder = (F.month(day) == 1) & (F.dayofmonth(day) == 1) & year.isin(1970, 2000, 2001)
+    return F.when((year > 1995) & (year <= F.year(today) + 1) & ~placeholder, day)
+
+
+READERS: dict = {}
+
+
+class UnknownKind(ValueError):
+    """No reader is registered for a kind of source."""
+
+
+def register(kind: str):
+    """Registers a reader ``(spark, path) -> raw items`` for a kind of source."""
+
+    def add(f):
+        READERS[kind] = f
+        return f
+
+    return add
+
+
+def reader_of(kind: str):
+    if kind not in READERS:
+        raise UnknownKind(f"no reader for {kind!r}; known kinds: {', '.join(sorted(READERS))}")
+    return READERS[kind]
+
+
+for _kind, _reader in (("rss", read_rss), ("openalex", read_articles), ("europepmc", read_pmc)):
+    register(_kind)(_reader)
