@@ -4,7 +4,10 @@ Only characters beyond ASCII can be wrong, so the unit of work is the segment: a
 with one ASCII character on either side. The corpus's distinct segments are counted by a grouped
 aggregation; a smoothed character bigram model is trained on the clean ones; for each distinct segment every
 chain of encoding back and decoding again is scored, and the likeliest is accepted if it beats the text
-as it stands by a margin. The margins are constants and are not validated on the corpus at hand. The verdicts go back to the documents by a join on the segment.
+as it stands by a margin. The margins are validated on the corpus at hand (``validate``): each clean segment is scored by a model that
+doesn't know it, and a margin is what all but FALSE_ALARMS of the clean occurrences stay below. The verdicts go back to the documents by a join on the
+segment; a chain into a one-byte encoding, which a single short segment can't prove, is also accepted for a document in which the gains of its
+segments together beat the margin.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -22,16 +26,20 @@ from pyspark.sql import functions as F
 
 from feedmill.session import materialise
 
-SEGMENT = r"[\x00-\x7F]?[^\x00-\x7F]{1,256}[\x00-\x7F]?"
+SEGMENT = r"[\x00-\x7F]?[^\x00-\x7F]+[\x00-\x7F]?"
 BIGRAM_BITS, UNIGRAM_BITS = 18, 14
 #: Encodings that text was wrongly decoded with.
 WRONG = ("cp1252", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "cp1253", "cp1254", "cp1257", "iso8859_2", "iso8859_7", "cp866", "koi8_r", "cp852", "cp737", "mac_cyrillic", "mac_greek")
 #: One-byte encodings that text was really in.
 RIGHT = ("cp1252", "mac_roman", "cp437", "cp850", "cp1253", "cp1250")
-#: Gains in log likelihood from which a chain is accepted, by kind: it ends in UTF-8 and gives pairs known from clean
-#: text; it ends in UTF-8 and gives others; it ends in a one-byte encoding.
-#: Constants, whatever the corpus.
-MARGINS = {"known": 4.0, "new": 12.0, "byte": 8.7}
+#: Gains in log likelihood from which a chain is accepted, by kind, before they are validated: it ends in UTF-8 and gives pairs known from clean
+#: text; it ends in UTF-8 and gives others; it ends in a one-byte encoding. No margin goes below LEAST_MARGIN.
+START = {"known": 4.0, "new": 12.0, "byte": 8.7}
+LEAST_MARGIN = {"known": 3.0, "new": 9.0, "byte": 6.0}
+#: Share of the clean occurrences that may be taken for garbled.
+FALSE_ALARMS = 2e-3
+#: Occurrences, beside three times the mean load of a hashed cell, from which a pair is known.
+KNOWN = 3
 #: Gain from which a weaker segment is restored where its document has the same chain accepted elsewhere.
 WEAK = 1.5
 LOST = "\ufffd"
@@ -88,12 +96,24 @@ class Model:
 
     def __post_init__(self) -> None:
         self.total = float(self.one.sum()) + 1.0
+        self.known = KNOWN + 3 * float(self.two.sum()) / len(self.two)
+
+    def without(self, s: str, n: int) -> Model:
+        """The model as it would be had it not seen ``n`` times the segment ``s``, for scoring ``s`` and what it is made into."""
+        t = [symbol(c) for c in s]
+        return _Less(self.one, self.two, less_one=Counter(_hash(c, UNIGRAM_BITS) for c in t), less_two=Counter(_hash(x + y, BIGRAM_BITS) for x, y in zip(t, t[1:])), n=n)
+
+    def pair(self, pair: str) -> float:
+        return self.two[_hash(pair, BIGRAM_BITS)]
+
+    def single(self, c: str) -> float:
+        return self.one[_hash(c, UNIGRAM_BITS)]
 
     def step(self, pair: str) -> float:
         """log P(second | first)."""
         if (got := self.cache.get(pair)) is None:
-            a, b = self.one[_hash(pair[0], UNIGRAM_BITS)], self.one[_hash(pair[1], UNIGRAM_BITS)]
-            p = 0.8 * self.two[_hash(pair, BIGRAM_BITS)] / (a + 2.0) + 0.2 * (b + 0.02) / self.total
+            a, b = self.single(pair[0]), self.single(pair[1])
+            p = 0.8 * self.pair(pair) / (a + 2.0) + 0.2 * (b + 0.02) / self.total
             got = self.cache[pair] = math.log(p)
         return got
 
@@ -102,6 +122,23 @@ class Model:
         return sum(self.step(a + b) for a, b in zip(t, t[1:])) if len(t) > 1 else self.step(" " + t[0])
 
 
+@dataclass
+class _Less(Model):
+    """A model less a segment's own counts."""
+
+    less_one: Counter = field(default_factory=Counter)
+    less_two: Counter = field(default_factory=Counter)
+    n: int = 0
+
+    def pair(self, pair: str) -> float:
+        at = _hash(pair, BIGRAM_BITS)
+        return max(0.0, self.two[at] - self.n * self.less_two[at])
+
+    def single(self, c: str) -> float:
+        at = _hash(c, UNIGRAM_BITS)
+        return max(0.0, self.one[at] - self.n * self.less_one[at])
+
+
 def _run_of(segment: str) -> tuple[int, int]:
     return int(ord(segment[0]) < 128), len(segment) - int(len(segment) > 1 and ord(segment[-1]) < 128)
 
@@ -142,24 +179,24 @@ def plausible(s: str) -> bool:
     return all(unicodedata.category(c) not in ("Cc", "Co", "Cn", "Cs") for c in s)
 
 
-def best_chain(model: Model, segment: str) -> tuple[float, float, str, str]:
-    """(gain, margin it must reach, chain, restored segment) of the chain that exceeds its margin most, or by which it falls short least."""
+def best_chain(model: Model, segment: str, margins: dict[str, float] = START) -> tuple[float, str, str, str]:
+    """(gain, kind, chain, restored segment) of the chain that exceeds its margin most, or by which it falls short least."""
     a, z = _run_of(segment)
     head, run, tail = segment[:a], segment[a:z], segment[z:]
     now = model.score(segment)
-    best = (-math.inf, 0.0, "", segment)
+    best, most = (-math.inf, "byte", "", segment), -math.inf
     for name, text, utf in chains(run):
         if text == run or not plausible(text):
             continue
         fixed = head + text + tail
         t = [symbol(c) for c in fixed]
-        known = not BLOCKS & {*t} and all(model.two[_hash(x + y, BIGRAM_BITS)] >= 3 for x, y in zip(t, t[1:]))
+        known = not BLOCKS & {*t} and all(model.pair(x + y) >= model.known for x, y in zip(t, t[1:]))
         # any bytes can be read in a one-byte encoding, and a few happen to be UTF-8: only pairs known from clean text count there
         if not known and (not utf or len(text) < 3):
             continue
-        gain, margin = model.score(fixed) - now, MARGINS["byte" if not utf else "known" if known else "new"]
-        if gain - margin > best[0] - best[1]:
-            best = (gain, margin, name, fixed)
+        gain, kind = model.score(fixed) - now, "byte" if not utf else "known" if known else "new"
+        if gain - margins[kind] > most:
+            best, most = (gain, kind, name, fixed), gain - margins[kind]
     return best
 
 
@@ -191,19 +228,72 @@ def train(segments: DataFrame) -> Model:
     return Model(*arrays)
 
 
-def judge(segments: DataFrame, model: Model) -> DataFrame:
-    """``segment, n, gain, chain, restored, garbled`` of each segment."""
+def judge(segments: DataFrame, model: Model, margins: dict[str, float] = START) -> DataFrame:
+    """``segment, n, gain, kind, chain, restored, garbled`` of each segment."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Model(model.one, model.two)
         for batch in batches:
-            found = [best_chain(own, s) for s in batch["segment"]]
+            found = [best_chain(own, s, margins) for s in batch["segment"]]
             gains = np.array([g for g, *_ in found], dtype=float)
             lost = batch["segment"].str.contains(LOST, regex=False).to_numpy(bool)
-            garbled = (gains >= np.array([m for _, m, *_ in found], dtype=float)) | lost
-            yield batch.assign(gain=gains, chain=[c for *_, c, _ in found], restored=[f for *_, f in found], garbled=garbled)
+            garbled = (gains >= np.array([margins[k] for _, k, *_ in found], dtype=float)) | lost
+            yield batch.assign(gain=gains, kind=[k for _, k, *_ in found], chain=[c for *_, c, _ in found], restored=[f for *_, f in found], garbled=garbled)
+
+    return segments.select("segment", "n").mapInPandas(run, "segment string, n bigint, gain double, kind string, chain string, restored string, garbled boolean")
+
 
-    return segments.select("segment", "n").mapInPandas(run, "segment string, n bigint, gain double, chain string, restored string, garbled boolean")
+def validate(clean: DataFrame, model: Model, false_alarms: float = FALSE_ALARMS, recall: bool = False) -> dict[str, tuple[float, float, float]]:
+    """(margin, share of clean occurrences at or above it, share of garbled ones found) by kind, from clean segments (``segment, n``).
+
+    Each clean segment is scored by the model less its own counts: as it stands, which is a false alarm if a chain gains, and garbled by every
+    chain (written in UTF-8 or a one-byte encoding, read in a wrong one). A margin is the least tenth that all but ``false_alarms`` of the clean occurrences stay
+    below, but LEAST_MARGIN at least. The garbled ones tell what that costs, and are made only where ``recall`` is asked for. Only counts by kind and tenth of a gain reach the driver.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        whole = Model(model.one, model.two)
+        for batch in batches:
+            counts: Counter = Counter()
+            for segment, n in zip(batch["segment"], batch["n"]):
+                less = whole.without(segment, int(n))
+                gain, kind, *_ = best_chain(less, segment)
+                counts[kind, False, _tenth(gain)] += int(n)
+                a, z = _run_of(segment)
+                for garbled in _garble(segment[a:z]) if recall else ():
+                    gain, kind, _, fixed = best_chain(less, segment[:a] + garbled + segment[z:])
+                    if gain > -math.inf:
+                        counts[kind, True, _tenth(gain if fixed == segment else -math.inf)] += 1
+            yield pd.DataFrame([(k, g, t, n) for (k, g, t), n in counts.items()], columns=["kind", "garbled", "tenth", "n"])
+
+    rows = clean.select("segment", "n").mapInPandas(run, "kind string, garbled boolean, tenth int, n bigint").groupBy("kind", "garbled", "tenth").agg(F.sum("n").alias("n")).collect()
+    every = max(1, sum(r["n"] for r in rows if not r["garbled"]))
+    found = {}
+    for kind, least in LEAST_MARGIN.items():
+        over = lambda m, g: sum(r["n"] for r in rows if r["kind"] == kind and r["garbled"] == g and r["tenth"] >= round(10 * m))  # noqa: E731, B023
+        margin = least
+        while over(margin, False) > false_alarms * every:
+            margin = round(margin + 0.1, 1)
+        made = sum(r["n"] for r in rows if r["kind"] == kind and r["garbled"])
+        found[kind] = (margin, over(margin, False) / every, over(margin, True) / max(1, made))
+    return found
+
+
+def _tenth(gain: float) -> int:
+    return -1000 if gain < -100 else min(10_000, math.floor(10 * gain))
+
+
+def _garble(run: str) -> Iterator[str]:
+    """The run as every chain would garble it, where it can."""
+    for right in ("utf-8", *RIGHT):
+        try:
+            raw = run.encode(right)
+        except UnicodeEncodeError:
+            continue
+        for wrong in WRONG:
+            chars = [TO_CHAR[wrong][b] for b in raw]
+            if wrong != right and None not in chars and (made := "".join(chars)) != run and not made.isascii():
+                yield made
 
 
 def judged_segments(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -216,8 +306,17 @@ def judged_segments(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return segments.map(lambda s: any(utf for *_, utf in chains(s[slice(*_run_of(s))], 1)))
 
     first = train(counted.where(~explained("segment")))
-    second = train(judge(counted, first).where("not garbled"))
-    return materialise(judge(counted, second))
+    clean = materialise(judge(counted, first).where("not garbled").select("segment", "n"))
+    second = train(clean)
+    margins = {kind: margin for kind, (margin, *_) in validate(clean, second).items()}
+    return materialise(judge(counted, second, margins).withColumn("margin", F.lit(margins["byte"])))
+
+
+def margins_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``kind, margin, false_alarms, found``: the validated margins on these texts, with both rates."""
+    counted = materialise(docs.select(F.explode(_segments(F.col(text_col))).alias("segment")).groupBy("segment").agg(F.count("*").alias("n")))
+    clean = materialise(judge(counted, train(counted)).where("not garbled").select("segment", "n"))
+    return docs.sparkSession.createDataFrame([(k, *v) for k, v in validate(clean, train(clean), recall=True).items()], "kind string, margin double, false_alarms double, found double")
 
 
 def _held(docs: DataFrame, verdicts: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -230,8 +329,14 @@ def find_garbled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Null, empty and pure ASCII texts are never found. Rows that repeat an id count once.
     """
-    verdicts = judged_segments(docs, text_col).where("garbled").select("segment")
-    return _held(docs, verdicts, id_col, text_col).select(F.col("key").alias(id_col)).distinct()
+    verdicts = judged_segments(docs, text_col).where("garbled or gain > 0")
+    return _accepted(_held(docs, verdicts, id_col, text_col)).select(F.col("key").alias(id_col)).distinct()
+
+
+def _accepted(held: DataFrame) -> DataFrame:
+    """``key, chain`` of what is accepted: a chain of a garbled segment (none where characters were only lost), and a one-byte chain whose gains in the document together beat the margin."""
+    pooled = held.groupBy("key", "chain").agg(F.max("garbled").alias("any"), F.sum(F.when((F.col("kind") == "byte") & (F.col("gain") > 0), F.col("gain"))).alias("gains"), F.max("margin").alias("margin"))
+    return pooled.where(F.col("any") | (F.col("gains") >= F.col("margin"))).select("key", "chain")
 
 
 def restore(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -239,12 +344,12 @@ def restore(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     ``chain`` lists the chains used, sorted. Characters that the wrong decoding lost stay U+FFFD.
     """
-    verdicts = judged_segments(docs, text_col).where(F.col("garbled") | (F.col("gain") >= WEAK)).select("segment", "garbled", F.nullif("chain", F.lit("")).alias("chain"), "restored")
-    held = _held(docs, verdicts, id_col, text_col).groupBy("key").agg(
-        F.array_sort(F.collect_set(F.when(F.col("garbled"), F.col("chain")))).alias("chains"), F.collect_set(F.struct("segment", "restored", "garbled", "chain")).alias("held"), F.max("garbled").alias("any")
-    )
-    own = F.filter("held", lambda x: x["garbled"] | F.array_contains("chains", x["chain"]))
-    found = held.where("any").select("key", F.array_join("chains", " + ").alias("chain"), F.map_from_entries(F.transform(own, lambda x: F.struct(x["segment"], x["restored"]))).alias("fixes"))
+    verdicts = judged_segments(docs, text_col).where("garbled or gain > 0").withColumn("chain", F.nullif("chain", F.lit("")))
+    held = materialise(_held(docs, verdicts, id_col, text_col))
+    chains = _accepted(held).groupBy("key").agg(F.array_sort(F.collect_set("chain")).alias("chains"))
+    own = held.join(chains, "key").where(F.col("garbled") | (F.col("gain") >= WEAK) & F.array_contains("chains", F.col("chain")))
+    fixes = own.groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("segment", "restored"))).alias("fixes"))
+    found = chains.join(fixes, "key", "left").select("key", F.array_join("chains", " + ").alias("chain"), F.coalesce("fixes", F.create_map().cast("map<string,string>")).alias("fixes"))
 
     @F.pandas_udf("string")
     def apply(texts: pd.Series, fixes: pd.Series) -> pd.Series:

@@ -83,7 +83,12 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return garbled.restore(spread(table(spark, d, "documents")))
 
 
-QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p1_found": p1_found, "p4_found": p4_found, "p4_cleaned": p4_cleaned, "p10_found": p10_found, "p10_restored": p10_restored, "p5_found": p5_found, "p6_found": p6_found, "p6_main_text": p6_main_text, "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_packed": p9_packed}
+def p10_margins(spark: SparkSession, d: str) -> DataFrame:
+    """The margins validated on the documents, with the shares of clean segments above them and of segments garbled on purpose that are led back."""
+    return garbled.margins_of(spread(table(spark, d, "documents")))
+
+
+QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p1_found": p1_found, "p4_found": p4_found, "p4_cleaned": p4_cleaned, "p10_found": p10_found, "p10_restored": p10_restored, "p10_margins": p10_margins, "p5_found": p5_found, "p6_found": p6_found, "p6_main_text": p6_main_text, "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_packed": p9_packed}
 ORACLE = {
     "p4_found": """WITH x AS (SELECT DISTINCT id, source_id, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[ \\t\\r]+', ' ', 'g')) AS line FROM (SELECT id, source_id, unnest(string_split(text, chr(10))) AS line FROM items WHERE source_id IS NOT NULL)),
  t AS (SELECT source_id, count(*) AS total FROM items WHERE source_id IS NOT NULL GROUP BY source_id)

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from feedmill.llm.garbled import find_garbled, restore
+from feedmill.llm.garbled import LEAST_MARGIN, find_garbled, margins_of, restore
 
 CLEAN = {
     "no": "Rådet åpnet en ny kai på øya, og bøndene får støtte til å bære på tømmer. “Vi må gå videre,” sa ordføreren.",
@@ -56,3 +56,21 @@ def test_restored(corpus):
 def test_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, segment string")
     assert find_garbled(empty).collect() == [] and restore(empty).collect() == []
+
+
+def test_margins_are_validated(spark):
+    """Held-out clean segments keep the rate of false alarms, and most of those garbled on purpose come back."""
+    rows = [(k, f"{text} Nr {k}.") for k in range(60) for text in CLEAN.values()]
+    found = {r.kind: r for r in margins_of(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(found) == set(LEAST_MARGIN)
+    assert all(r.false_alarms <= 2e-3 and r.margin >= LEAST_MARGIN[k] for k, r in found.items())
+    assert found["known"].found > 0.8
+
+
+def test_gains_of_a_document_are_pooled(spark):
+    """Single letters read in a wrong one-byte encoding prove nothing alone, but a document of them does; a few Cyrillic words don't."""
+    clean = [(k, CLEAN["es"] + CLEAN["no"] + CLEAN["pt"] + f" Nr {k}.") for k in range(300)]
+    wrong = CLEAN["es"].encode("cp1252").decode("cp1251")
+    rows = [*clean, (1000, wrong), (1001, "A word from afar: пример слово."), (1002, "x" * 100 + "ÿ" * 100_000)]
+    found = {r.doc_id for r in find_garbled(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert 1000 in found and not found & {k for k, _ in clean} and 1001 not in found
