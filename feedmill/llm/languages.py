@@ -2,9 +2,11 @@
 
 Bayesian fusion of evidence. The text speaks through a word model (likelihood of each line under each
 language), trained here. The other evidence is prior: what the declared label is worth, learnt as the
-share of each true language behind each label; the address suffix and the host, as shares of languages
-smoothed from all documents to the suffix to the host by grouped counts. The posterior of a line gives its
-language and confidence; a document's language is that of most of its words.
+share of each language behind each label; the address suffix and the host, as shares of languages
+smoothed from all documents to the suffix to the host by grouped counts. A document's own verdict is left out of the counts that become
+its prior, and a line's own words out of what the rest of the text says about it, so that no evidence counts twice.
+Words of a text hang together, so their log likelihoods count by TEMPER; the posteriors are then about as often right as they
+say. A line's posterior gives its language and confidence; a document's language is that of most of its words.
 """
 
 from __future__ import annotations
@@ -19,11 +21,14 @@ from pyspark.sql import functions as F
 from feedmill.session import materialise
 
 LANGUAGES = ("en", "no", "de", "fr", "es", "pt", "it", "el")
-#: Bounds of what the word model is fitted on and of its size.
-TRAIN_ROWS, VOCABULARY = 20_000, 50_000
+#: Bound of the labelled rows that the word model is fitted on, and the bits of its hashed words, of which none is dropped.
+TRAIN_ROWS, CELL_BITS = 20_000, 18
+#: What a word's log likelihood counts, and how far a line may differ from the rest of its text.
+TEMPER, MIXED = 0.5, 0.1
 SMOOTHING = 20.0
 LEAST_WORDS, LEAST_LINE_WORDS = 20, 10
 CONFIDENT = 0.9
+MARKS = '.,;:!?"“”«»()’…–•-'
 # Other notations of the languages' codes.
 NOTATIONS = {
     "en": "en eng english engelsk englisch anglais inglés inglese", "no": "no nb nn nor nob nno norsk norwegian bokmål bokmal nynorsk norwegisch", "de": "de deu ger german deutsch tysk allemand", "fr": "fr fra fre french français francais fransk",
@@ -46,18 +51,42 @@ def suffix_of(host: Column) -> Column:
     return F.regexp_extract(host, r"([^.]+\.[^.]+|[^.]+)$", 1)
 
 
-class WordModel:
-    """log P(word | language) of the known words; unknown words say nothing."""
+def _cell(word: str) -> int:
+    # the same as Spark's xxhash64, of which these are the low bits
+    import xxhash
+
+    return xxhash.xxh64_intdigest(word, seed=42) & ((1 << CELL_BITS) - 1)
 
-    def __init__(self, words: list[str], counts: np.ndarray) -> None:
-        self.at = {w: i for i, w in enumerate(words)}
-        self.logs = np.log((counts + 0.1) / (counts.sum(axis=0) + 0.1 * len(words))).astype(np.float32)
-        self.logs = np.clip(self.logs - self.logs.max(axis=1, keepdims=True), -6, 0) if len(words) else self.logs
+
+class WordModel:
+    """log P(word | language) by the word's hashed cell; cells that hardly occurred say nothing. Its size is fixed, whatever the corpus."""
+
+    def __init__(self, cells: np.ndarray, counts: np.ndarray) -> None:
+        self.logs = np.zeros((1 << CELL_BITS, len(LANGUAGES)), dtype=np.float32)
+        if len(cells):
+            known = np.log((counts + 0.1) / (counts.sum(axis=0) + 0.1 * len(cells)))
+            self.logs[cells] = np.clip(known - known.max(axis=1, keepdims=True), -6, 0)
+        self.told = np.abs(self.logs).sum(axis=1) > 0
+        self.at: dict[str, int] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"at": {}}
+
+    def cell(self, word: str) -> int:
+        """The word's cell, or that of the word without the marks around it; -1 where it says nothing. Kept between texts."""
+        if (found := self.at.get(word)) is None:
+            if len(self.at) > 500_000:
+                self.at.clear()
+            found = _cell(word)
+            if not self.told[found]:
+                found = _cell(word.strip(MARKS))
+            found = self.at[word] = found if self.told[found] else -1
+        return found
 
     def lines(self, text: str) -> tuple[list[int], list[int], np.ndarray]:
         """(numbers from 1, words, log likelihoods less the greatest) of the lines that have words."""
         numbers, sizes, known, bounds = [], [], [], []
-        get = self.at.get
+        cell = self.cell
         for number, line in enumerate(text.lower().split("\n"), 1):
             words = line.split()
             if not words:
@@ -65,7 +94,7 @@ class WordModel:
             numbers.append(number)
             sizes.append(len(words))
             bounds.append(len(known))
-            known += [i for w in words if (i := get(w)) is not None or (i := get(w.strip('.,;:!?"“”«»()’…–•-'))) is not None]
+            known += [i for w in words if (i := cell(w)) >= 0]
         logs = np.zeros((len(numbers), len(LANGUAGES)), dtype=np.float32)
         if known:
             total = np.concatenate([np.zeros((1, len(LANGUAGES)), np.float32), np.cumsum(self.logs[known], axis=0, dtype=np.float64)])
@@ -75,12 +104,11 @@ class WordModel:
 
 
 def _counts_to_model(counted: DataFrame) -> WordModel:
-    top = counted.groupBy("word").agg(F.sum("n").alias("total")).where("total >= 3").orderBy(F.desc("total"), "word").limit(VOCABULARY)
-    rows = counted.join(top.select("word"), "word").toPandas()
-    if rows.empty:
-        return WordModel([], np.zeros((0, len(LANGUAGES))))
-    table = rows.pivot_table(index="word", columns="lang", values="n", aggfunc="sum", fill_value=0).reindex(columns=list(LANGUAGES), fill_value=0)
-    return WordModel(table.index.tolist(), table.to_numpy(float))
+    """From ``lang, word, n``: counts by cell, summed in Spark, so that a bounded number of rows reaches the driver."""
+    cell = F.xxhash64("word").bitwiseAND(F.lit((1 << CELL_BITS) - 1)).cast("int")
+    by_lang = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).cast("double").alias(x) for x in LANGUAGES]
+    rows = counted.groupBy(cell.alias("cell")).agg(*by_lang, F.sum("n").alias("total")).where("total >= 3").toPandas()
+    return WordModel(rows["cell"].to_numpy(int), rows[list(LANGUAGES)].to_numpy(float).reshape(-1, len(LANGUAGES)))
 
 
 def train(documents: DataFrame, labelled: int) -> WordModel:
@@ -109,7 +137,7 @@ def train(documents: DataFrame, labelled: int) -> WordModel:
                         continue
                     lang = LANGUAGES[int(row.argmax())]
                     for w in lines[number - 1].split():
-                        w = w.strip('.,;:!?"“”«»()’…–•-')
+                        w = w.strip(MARKS)
                         if w and w.replace("'", "").replace("’", "").isalpha():
                             counts[lang, w] = counts.get((lang, w), 0) + 1
             yield pd.DataFrame([(a, b, n) for (a, b), n in counts.items()], columns=["lang", "word", "n"])
@@ -122,11 +150,26 @@ def _shares(counted: DataFrame, by: str) -> DataFrame:
     return counted.groupBy(by).agg(F.array(*[F.count_if(F.col("lang") == x).cast("double") for x in LANGUAGES]).alias(f"{by}_counts"))
 
 
-def _smooth(own: Column, above: Column) -> Column:
-    """Shares of ``own`` counts, drawn towards the shares ``above`` them."""
-    own = F.coalesce(own, F.array(*[F.lit(0.0)] * len(LANGUAGES)))
-    total = F.aggregate(own, F.lit(0.0), lambda a, x: a + x)
-    return F.zip_with(own, above, lambda n, p: (n + p * SMOOTHING) / (total + SMOOTHING))
+def _smooth(own: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """Shares of ``own`` counts (a row each), drawn towards the shares ``above`` them."""
+    return (own + above * SMOOTHING) / (own.sum(axis=1, keepdims=True) + SMOOTHING)
+
+
+def _counts(column: pd.Series, own: np.ndarray) -> np.ndarray:
+    """A column of count arrays as rows, less each document's own verdict; none where there is no array."""
+    none = np.zeros(len(LANGUAGES))
+    return np.maximum(np.array([none if x is None else x for x in column], dtype=float).reshape(-1, len(LANGUAGES)) - own, 0)
+
+
+def prior_shares(batch: pd.DataFrame, base: np.ndarray) -> np.ndarray:
+    """The prior of each document of ``lang, label, host_counts, suffix_counts, label_counts``: its host's shares, smoothed from all to suffix to host, times what its label is worth."""
+    own = np.array([[x == lang for x in LANGUAGES] for lang in batch["lang"]], dtype=float).reshape(-1, len(LANGUAGES))
+    host = _smooth(_counts(batch["host_counts"], own), _smooth(_counts(batch["suffix_counts"], own), base))
+    labelled = np.array([x is not None for x in batch["label"]])[:, None]
+    # a label's worth: the languages found behind it, against how frequent they are anyway
+    worth = np.where(labelled, _smooth(_counts(batch["label_counts"], own), base) / base, 1.0)
+    prior = host * worth
+    return prior / prior.sum(axis=1, keepdims=True)
 
 
 def identify(documents: DataFrame, id_col: str = "id", text_col: str = "text", label_col: str = "lang", url_col: str = "url", without: Column | None = None) -> DataFrame:
@@ -159,30 +202,26 @@ def identify(documents: DataFrame, id_col: str = "id", text_col: str = "text", l
     told = first.where("lang is not null")
     every = told.agg(*[F.count_if(F.col("lang") == x).alias(x) for x in LANGUAGES]).first()
     base = np.array([every[x] + 1.0 for x in LANGUAGES])
-    shares = F.array(*[F.lit(float(x)) for x in base / base.sum()])
+    base /= base.sum()
     fused = first.join(_shares(told, "host"), "host", "left").join(_shares(told, "suffix"), "suffix", "left").join(_shares(told.where("label is not null"), "label"), "label", "left")
-    suffix = _smooth(F.col("suffix_counts"), shares)
-    # a label's worth: the languages found behind it, against how frequent they are anyway
-    worth = F.when(F.col("label_counts").isNotNull(), F.zip_with(_smooth(F.col("label_counts"), shares), shares, lambda a, b: a / b))
-    prior = F.coalesce(F.zip_with(_smooth(F.col("host_counts"), suffix), worth, lambda a, b: a * b), _smooth(F.col("host_counts"), suffix))
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for key, label, numbers, sizes, logs, p in zip(batch["key"], batch["label"], batch["numbers"], batch["sizes"], batch["logs"], batch["prior"]):
-                logs = np.asarray(logs, dtype=float).reshape(len(numbers), len(LANGUAGES))
+            priors = np.log(prior_shares(batch, base) + 1e-9)
+            for key, label, numbers, sizes, logs, prior in zip(batch["key"], batch["label"], batch["numbers"], batch["sizes"], batch["logs"], priors):
+                logs = TEMPER * np.asarray(logs, dtype=float).reshape(len(numbers), len(LANGUAGES))
                 sizes = np.asarray(sizes)
-                logp = np.log(np.asarray(p, dtype=float) + 1e-6)
 
                 def posterior(scores: np.ndarray) -> np.ndarray:
                     e = np.exp(scores - scores.max(axis=1, keepdims=True))
                     return e / e.sum(axis=1, keepdims=True)
 
-                # the lines of a text mostly share its language: its words' first verdict joins the priors
-                once = posterior(logs + logp)
-                mass = sizes @ once
-                own = np.log(mass / mass.sum() * 0.9 + 0.1 / len(LANGUAGES))
-                lines = posterior(logs + own)
+                # the lines of a text mostly share its language: the words of the others are a line's prior, beside the document's
+                mass = sizes[:, None] * posterior(logs + prior)
+                others = mass.sum(axis=0) - mass
+                rest = (1 - MIXED) * (others + np.exp(prior)) / (others.sum(axis=1, keepdims=True) + 1) + MIXED / len(LANGUAGES)
+                lines = posterior(logs + np.log(rest))
                 mass = sizes @ lines
                 top = int(mass.argmax())
                 out.append((key, 0, int(sizes.sum()), LANGUAGES[top], float(mass[top] / mass.sum()), label, LANGUAGES[top]))
@@ -191,7 +230,7 @@ def identify(documents: DataFrame, id_col: str = "id", text_col: str = "text", l
                     out.append((key, int(n), int(size), LANGUAGES[int(k)], float(c), label, LANGUAGES[top]))
             yield pd.DataFrame(out, columns=["key", "line_no", "words", "lang", "confidence", "label", "main"])
 
-    decided = fused.select("key", "label", "numbers", "sizes", "logs", prior.alias("prior")).mapInPandas(decide, f"key {kind}, line_no int, words int, lang string, confidence double, label string, main string")
+    decided = fused.select("key", "label", "lang", "numbers", "sizes", "logs", "host_counts", "suffix_counts", "label_counts").mapInPandas(decide, f"key {kind}, line_no int, words int, lang string, confidence double, label string, main string")
     return decided.withColumnRenamed("key", id_col)
 
 

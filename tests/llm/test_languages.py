@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 
-from feedmill.llm.languages import identify, mislabelled
+from feedmill.llm.languages import identify, mislabelled, prior_shares
 
 WORDS = {
     "en": "the harbour and ferry of that with from which board has opened new plan for this city but not they".split(),
@@ -60,3 +62,43 @@ def test_confidence(corpus):
 def test_empty(spark):
     empty = spark.createDataFrame([], "id long, text string, lang string, url string, label string, host string")
     assert mislabelled(empty).collect() == []
+
+
+def _torn(spark):
+    """Texts of words that two languages share; only the host tells which it is."""
+    rng = random.Random(2)
+    shared = "plan casa mar luna mesa vida hora nota".split()
+    rows = [(k, "\n".join(" ".join(rng.choice(WORDS[lang] + shared) for _ in range(14)) for _ in range(3)), lang, f"https://news.{host}.example/{k}") for k in range(400) for lang, host in [(("es", "uno"), ("pt", "dois"))[k % 2]]]
+    torn = [(1000 + k, " ".join(rng.choice(shared) for _ in range(24)), None, f"https://news.{('uno', 'dois')[k % 2]}.example/x{k}") for k in range(20)]
+    return spark.createDataFrame(rows + torn, "id long, text string, lang string, url string"), {(1000 + k, 0, ("es", "pt")[k % 2]) for k in range(20)}
+
+
+def test_priors_decide(spark, monkeypatch):
+    """With host and suffix shares smoothed away, the torn texts of one host get the wrong language."""
+    docs, want = _torn(spark)
+    assert want <= {tuple(r) for r in mislabelled(docs).collect()}
+    monkeypatch.setattr("feedmill.llm.languages.SMOOTHING", 1e12)
+    assert len(want - {tuple(r) for r in mislabelled(docs).collect()}) >= 5
+
+
+def test_own_verdict_is_left_out():
+    base = np.full(8, 1 / 8)
+    one = [1.0] + [0.0] * 7
+    alone = pd.DataFrame({"lang": ["en"], "label": [None], "host_counts": [one], "suffix_counts": [one], "label_counts": [None]})
+    assert np.allclose(prior_shares(alone, base), base)
+
+
+def test_calibration(spark):
+    """Among short torn and clear texts alike, what is said with some confidence is right about as often."""
+    rng = random.Random(3)
+    rows = []
+    for k in range(1600):
+        lang = list(WORDS)[k % 8]
+        other = list(WORDS)[(k // 8) % 8]
+        pool = WORDS[lang] * 2 + WORDS[other]
+        rows.append((k, " ".join(rng.choice(pool) for _ in range(rng.choice((3, 6, 30)))), lang if k % 5 else None, None))
+    got = identify(spark.createDataFrame(rows, "id long, text string, lang string, url string")).where("line_no = 0").collect()
+    right = [(r.confidence, r.lang == list(WORDS)[r.id % 8]) for r in got]
+    assert abs(sum(c for c, _ in right) - sum(ok for _, ok in right)) / len(right) < 0.08
+    sure = [ok for c, ok in right if c >= 0.95]
+    assert sum(sure) / len(sure) > 0.93
