@@ -1,23 +1,26 @@
 """Problem 4: lines that recur in many documents of one source.
 
-PrefixSpan, distributed: the database is the lines of each document as identifiers with their places. The
-frequent single lines of each source come from one grouped count; each further round extends the frequent
-sequences by the frequent line that follows them in a document (the projected database is a table of
-document, sequence and end), counts in how many documents of the source each extension stands, and keeps
-the frequent ones. Every line of a frequent sequence is frequent itself, so sequences are grown from
-frequent lines only.
+PrefixSpan, distributed. The database is the documents' lines as identifiers, a sequence of the frequent ones for each document; empty
+lines and lines that aren't frequent may stand between those of a sequence. The sequences of length one come
+from one grouped count. Each round extends every frequent prefix by the lines that follow it next in its projected suffixes, counts in how many
+documents of the source each extension stands, and keeps the frequent ones with their suffixes, until nothing can be
+extended; no length is set. A prefix whose suffixes all begin alike is led on to the end of what they share at once (by the least and
+the greatest suffix, which share what all share), so that a block that always stands together costs one round. Found are the
+closed sequences: those that no extension with the same support contains. Their lines are what recurs, and a document loses the
+places where such a sequence stands.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedmill.session import materialise
 
 LEAST_DOCUMENTS = 5
 ONE_IN = 50
-MAX_LENGTH = 3
 
 
 def normal_lines(text: Column) -> Column:
@@ -34,47 +37,75 @@ def _boxed(items: DataFrame, id_col: str, source_col: str, text_col: str) -> Dat
     return items.select(F.col(id_col).alias("doc"), F.col(source_col).alias("source"), F.col(text_col).alias("text")).where("source is not null")
 
 
+def _totals(boxed: DataFrame) -> DataFrame:
+    return boxed.groupBy("source").agg(F.count("*").alias("total"))
+
+
 def frequent_lines(items: DataFrame, id_col: str = "id", source_col: str = "source_id", text_col: str = "text") -> DataFrame:
-    """``source, line, n``: the frequent sequences of length one, with the number of documents."""
+    """``source, line, n, id``: the frequent sequences of length one, with the number of documents and a number within the source."""
     boxed = _boxed(items, id_col, source_col, text_col)
-    totals = boxed.groupBy("source").agg(F.count("*").alias("total"))
     # each document names a line once, so a count of rows is one of documents, and is combined before the shuffle
     named = boxed.select("source", F.explode(F.array_distinct(normal_lines(F.col("text")))).alias("line")).where("line <> ''")
-    return _support(named.groupBy("source", "line").agg(F.count("*").alias("n")), totals)
+    found = _support(named.groupBy("source", "line").agg(F.count("*").alias("n")), _totals(boxed))
+    # a line is frequent in one of ONE_IN documents at least, so a source has few of them
+    return found.withColumn("id", F.row_number().over(Window.partitionBy("source").orderBy("line")))
 
 
 def _occurrences(boxed: DataFrame, lines: DataFrame) -> DataFrame:
-    """``source, doc, at, id``: where the frequent lines stand, empty lines not counted as places."""
-    placed = F.posexplode(F.filter(normal_lines(F.col("text")), lambda x: x != ""))
-    return boxed.select("source", "doc", placed.alias("at", "line")).select("source", "doc", "at", F.xxhash64("line").alias("id")).join(lines.select("source", "id"), ["source", "id"])
+    """``source, doc, row, at, id``: where the frequent lines stand; joined by the line itself, so that no two are taken for one. ``row`` tells rows of one document apart; the result must be written before it is read twice."""
+    numbered = boxed.withColumn("row", F.monotonically_increasing_id())
+    return numbered.select("source", "doc", "row", F.posexplode(normal_lines(F.col("text"))).alias("at", "line")).where("line <> ''").join(lines.select("source", "line", "id"), ["source", "line"]).drop("line")
+
+
+def _common(least: Column, greatest: Column) -> Column:
+    """What two arrays begin with in common; of the least and the greatest of a set, what all of it begins with."""
+    agree = F.zip_with(least, greatest, lambda a, b: a.eqNullSafe(b) & a.isNotNull())
+    first = F.array_position(agree, F.lit(False))
+    return F.slice(least, 1, F.when(first == 0, F.size(agree)).otherwise(first - 1).cast("int"))
 
 
-def frequent_sequences(items: DataFrame, id_col: str = "id", source_col: str = "source_id", text_col: str = "text", max_length: int = MAX_LENGTH) -> DataFrame:
-    """``source, sequence, n``: successive lines that stand so in ``n`` documents of the source, lengths 1 to ``max_length``.
+def mine(occurrences: DataFrame, totals: DataFrame) -> DataFrame:
+    """``source, ids, n``: the closed frequent sequences of ``occurrences`` (``source, doc, row, at, id``), as arrays of lines' numbers.
+
+    Repeated rows count as documents of their own.
+    """
+    whole = occurrences.groupBy("source", "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "id"))), lambda x: x["id"]).alias("ids"))
+    # every place begins a suffix; the first of a line in a document is its projection
+    start = whole.select("source", "row", F.posexplode("ids").alias("k", "id"), "ids").where(F.array_position("ids", F.col("id")) == F.col("k") + 1)
+    start = start.select("source", "row", F.array("id").alias("prefix"), F.slice("ids", F.col("k") + 2, F.size("ids")).alias("suffix"))
+    projected = materialise(start)
+    found = []
+    while True:
+        groups = projected.groupBy("source", "prefix").agg(F.count("*").alias("n"), F.min("suffix").alias("least"), F.max("suffix").alias("greatest"))
+        frequent = materialise(_support(groups, totals).withColumn("shared", _common(F.col("least"), F.col("greatest"))).select("source", "prefix", "n", "shared"))
+        if frequent.isEmpty():
+            break
+        found.append(frequent.select("source", F.concat("prefix", "shared").alias("ids"), "n"))
+        on = projected.join(frequent.drop("n"), ["source", "prefix"]).select("source", "row", F.concat("prefix", "shared").alias("prefix"), F.slice("suffix", F.size("shared") + 1, F.size("suffix")).alias("suffix")).where(F.size("suffix") > 0)
+        projected = materialise(on.select("source", "row", F.concat("prefix", F.slice("suffix", 1, 1)).alias("prefix"), F.slice("suffix", 2, F.size("suffix")).alias("suffix")))
+    every = reduce(DataFrame.unionByName, found, occurrences.select("source", F.array("id").alias("ids"), F.lit(0).cast("bigint").alias("n")).limit(0)).distinct()
+    return _closed(materialise(every))
+
+
+def _closed(sequences: DataFrame) -> DataFrame:
+    """The sequences that aren't the tail of another one with the same support: what was begun in the middle of a block is dropped for the whole block."""
+    tails = sequences.select("source", "n", F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.size("ids"), F.lit(2))), lambda k: F.slice("ids", k, F.size("ids")))).alias("ids")).where(F.size("ids") > 0)
+    return sequences.join(tails.distinct(), ["source", "ids", "n"], "left_anti")
+
+
+def frequent_sequences(items: DataFrame, id_col: str = "id", source_col: str = "source_id", text_col: str = "text") -> DataFrame:
+    """``source, sequence, n``: the closed frequent sequences of lines, with the number of documents of the source in which they stand so.
 
     Support is at least LEAST_DOCUMENTS documents and one in ONE_IN of the source's rows. Null and empty
-    texts count as rows only; rows without source and empty lines are left out; repeated rows count.
+    texts count as rows only; rows without source and empty lines are left out; other lines may stand between a sequence's lines.
     """
     boxed = _boxed(items, id_col, source_col, text_col)
-    totals = materialise(boxed.groupBy("source").agg(F.count("*").alias("total")))
-    lines = materialise(frequent_lines(items, id_col, source_col, text_col).withColumn("id", F.xxhash64("line")))
-    found = lines.select("source", F.array("line").alias("sequence"), "n")
-    if max_length < 2:
-        return found
-    occurrences = materialise(_occurrences(boxed, lines))
-    projected = occurrences.select("source", "doc", F.col("at").alias("end"), F.array("id").alias("ids"))
-    names = lines.select("source", "id", "line")
-    for length in range(2, max_length + 1):
-        following = occurrences.select("source", "doc", (F.col("at") - 1).alias("end"), "id")
-        grown = projected.join(following, ["source", "doc", "end"]).select("source", "doc", (F.col("end") + 1).alias("end"), F.concat("ids", F.array("id")).alias("ids"))
-        counted = grown.select("source", "doc", "ids").distinct().groupBy("source", "ids").agg(F.count("*").alias("n"))
-        frequent = materialise(_support(counted, totals))
-        placed = frequent.select("source", "ids", "n", F.posexplode("ids").alias("k", "id")).join(names, ["source", "id"])
-        spelled = placed.groupBy("source", "ids", "n").agg(F.array_sort(F.collect_list(F.struct("k", "line"))).alias("lines"))
-        found = found.unionByName(spelled.select("source", F.transform("lines", lambda x: x["line"]).alias("sequence"), "n"))
-        if length < max_length:
-            projected = materialise(grown.join(frequent.select("source", "ids"), ["source", "ids"], "left_semi"))
-    return found
+    totals = materialise(_totals(boxed))
+    lines = materialise(frequent_lines(items, id_col, source_col, text_col))
+    closed = mine(materialise(_occurrences(boxed, lines)), totals).withColumn("key", F.xxhash64("source", "ids"))
+    placed = closed.select("source", "ids", "n", F.posexplode("ids").alias("k", "id")).join(lines.select("source", "id", "line"), ["source", "id"])
+    spelled = placed.groupBy("source", "ids", "n").agg(F.array_sort(F.collect_list(F.struct("k", "line"))).alias("lines"))
+    return spelled.select("source", F.transform("lines", lambda x: x["line"]).alias("sequence"), "n")
 
 
 def repeated_lines(items: DataFrame, id_col: str = "id", source_col: str = "source_id", text_col: str = "text") -> DataFrame:
@@ -84,14 +115,17 @@ def repeated_lines(items: DataFrame, id_col: str = "id", source_col: str = "sour
 
 
 def remove_repeated(items: DataFrame, id_col: str = "id", source_col: str = "source_id", text_col: str = "text") -> DataFrame:
-    """``id_col, text_col`` of each row, the text without the lines repeated in its source.
+    """``id_col, text_col`` of each row, the text without the occurrences of its source's frequent sequences.
 
-    ``id_col`` must be unique. Texts without such lines, null and empty ones and those without source stay as they are.
+    ``id_col`` must be unique. A sequence's lines go where they stand, single ones too, whatever stands between them. Texts without such lines, null and
+    empty ones and those without source stay as they are.
     """
     boxed = _boxed(items, id_col, source_col, text_col)
-    lines = frequent_lines(items, id_col, source_col, text_col).withColumn("id", F.xxhash64("line"))
-    placed = boxed.select("source", "doc", F.posexplode(normal_lines(F.col("text"))).alias("at", "line")).where("line <> ''").select("source", "doc", "at", F.xxhash64("line").alias("id"))
-    drop = placed.join(lines.select("source", "id"), ["source", "id"]).groupBy("doc").agg(F.collect_set("at").alias("drop"))
+    totals = materialise(_totals(boxed))
+    lines = materialise(frequent_lines(items, id_col, source_col, text_col))
+    occurrences = materialise(_occurrences(boxed, lines))
+    mined = mine(occurrences, totals).select("source", F.explode("ids").alias("id")).distinct()
+    drop = occurrences.join(mined, ["source", "id"]).groupBy("doc").agg(F.collect_set("at").alias("drop"))
     texts = items.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(drop, "doc", "left")
     kept = F.filter(F.split("text", "\n"), lambda line, at: ~F.array_contains("drop", at))
     return texts.select(F.col("doc").alias(id_col), F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias(text_col))

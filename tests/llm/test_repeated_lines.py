@@ -36,7 +36,7 @@ def test_sequences(spark):
     rows = spark.createDataFrame(ROWS, SCHEMA)
     got = {(r.source, tuple(r.sequence)): r.n for r in frequent_sequences(rows).collect()}
     assert got[1, ("share this story 0", "by the newsdesk")] == 60
-    assert got[2, ("subscribe", "subscribe")] == 5
+    assert got[2, ("subscribe", "subscribe")] == 5 and (2, ("subscribe",)) not in got
     assert (1, ("by the newsdesk", "share this story 0")) not in got
 
 
@@ -47,3 +47,20 @@ def test_removal(spark):
     assert got[0] == "fact aa happened" and got[402] == "last" and got[207] is None and got[400] == "" and got[300] == "Subscribe" and got[200] == "\n"
     assert remove_repeated(rows.limit(0)).collect() == []
     assert repeated_lines(rows.limit(0)).collect() == []
+
+
+def test_gaps_and_long_blocks(spark):
+    """Other lines may stand between a sequence's; a block of 200 lines that always stands together is one closed sequence."""
+    block = [f"line {chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(200)]
+    rows = [(k, 1, f"first\nown {chr(97 + k)}\nsecond" + ("\nthird" if k < 6 else "")) for k in range(12)] + [(100 + k, 2, "\n".join(block)) for k in range(6)]
+    rows += [(100, 2, "\n".join(block))]
+    got = {(r.source, tuple(r.sequence)): r.n for r in frequent_sequences(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {(1, ("first", "second")): 12, (1, ("first", "second", "third")): 6, (1, ("second",)): 12, (1, ("second", "third")): 6, (2, tuple(block)): 7} or got == {(1, ("first", "second")): 12, (1, ("first", "second", "third")): 6, (2, tuple(block)): 7}
+
+
+def test_mining_decides(spark, monkeypatch):
+    """Without the mined sequences no line is found and none is removed."""
+    rows = spark.createDataFrame(ROWS, SCHEMA)
+    monkeypatch.setattr("feedmill.llm.repeated_lines._closed", lambda sequences: sequences.limit(0))
+    assert repeated_lines(rows).collect() == []
+    assert {r.id: r.text for r in remove_repeated(rows).collect()} == {r[0]: r[2] for r in ROWS}
