@@ -30,16 +30,19 @@ TECHNICAL = re.compile(
 )
 # Parts of notices, filler and page furniture; looked for in lower case behind a blank.
 NOTICE = tuple(
-    "javascript|java script| script | scripts| script.|scripting| skript|page not found|could not find what you|access denied|permission to view|permission to access|too many requests|unavailable|maintenance|took too long|gateway timeout|went wrong"
+    "javascript|java script|page not found|could not find what you|access denied|permission to view|permission to access|too many requests|took too long|gateway timeout|went wrong"
     "|internal error|internal server error|connect to database|session has expired|not available in your|checking your connection|you are human|error 4|error 5"
-    "|siden finnes ikke|ikke tilgang|svarer ikke|noe gikk galt"
-    "|seite nicht gefunden|zugriff verweigert|wartungsarbeiten|fehler aufgetreten"
-    "|page introuvable|accès refusé|indisponible|erreur interne"
-    "|no encontrada|acceso denegado|no disponible|algo ha fallado|se ha producido un error"
-    "|não encontrada|acesso negado|erro interno|indisponível"
-    "|non trovata|accesso negato|errore interno|non disponibile"
-    "|δεν βρέθηκε|σφάλμα|δεν είναι διαθέσιμη|δεν έχετε πρόσβαση".split("|")
+    "|siden finnes ikke|ikke tilgang|noe gikk galt"
+    "|seite nicht gefunden|zugriff verweigert|fehler aufgetreten"
+    "|page introuvable|accès refusé|erreur interne"
+    "|no encontrada|acceso denegado|algo ha fallado|se ha producido un error"
+    "|não encontrada|acesso negado|erro interno"
+    "|non trovata|accesso negato|errore interno"
+    "|δεν βρέθηκε|σφάλμα|δεν έχετε πρόσβαση".split("|")
 )
+# Words that also stand in articles; a notice has a word of the web beside them.
+STATES = tuple(" script| skript|unavailable|maintenance|wartung|vedlikehold|svarer ikke|indisponible|no disponible|indisponível|non disponibile|nicht verfügbar|ikke tilgjengelig|δεν είναι διαθέσιμη|mantenimiento|manutenção|manutenzione".split("|"))
+WEB = re.compile(r"\b(?:web\w*|sites?|pages?|server\w*|services?|browser\w*|requests?|reload|seite|dienst|siden|nettside\w*|nettleser\w*|tjenesten|navigateur|navegador|página|servicio|serviço|servidor|pagina|servizio|sito|sitio|σελίδα|υπηρεσία|content|enable|turn on|allow|activate|aktivieren|activez|active|ative|attiva|slå på)\b")
 NUMBERED = re.compile(r"(?:error|feil|fehler|erreur|erro|errore|http|status|σφάλμα) \d")
 NUMBERED_WORDS = ("error ", "feil ", "fehler ", "erreur ", "erro ", "errore ", "http ", "status ", "σφάλμα ")
 FILLER = tuple(
@@ -55,20 +58,19 @@ FURNITURE = tuple(
 )
 # Frequent function words of the eight languages; prose has some in every line.
 FUNCTION_WORDS = frozenset(
-    "the a an of in to and on for with which they that is was has have not but by its from "
-    "og i på det en et som til med av for ikke den har at ved vi "
-    "der die das und in den zu von für auf ist mit ein eine dem des nicht bei es nach im "
-    "le la les de et un une du des à au est pour dans qui sur pas par en "
-    "el los las y con para que del al por se su no una "
-    "o os as do da e em um uma ao não na com dos das "
-    "il lo gli di per della con ha alla non al "
+    "the a an of in to and on for with which they that is was has have not but by its from so or as it this will at "
+    "og i på det en et som til med av for ikke den har at ved vi men om før etter mot de nord "
+    "der die das und in den zu von für auf ist mit ein eine dem des nicht bei es nach im aber so dass an "
+    "le la les de et un une du des à au est pour dans qui sur pas par en mais ce se "
+    "el los las y con para que del al por se su no una pero más lo "
+    "o os as do da e em um uma ao não na com dos das mas se no "
+    "il lo gli di per della con ha alla non al ma si un una "
     "και το η ο του της με στη στο για τα των ένα μια από σε την τον να θα".split()
 )
 # Words of dummy text.
 DUMMY_WORDS = frozenset(
     "lorem ipsum dolor amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam nostrud exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure "
-    "reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa officia deserunt mollit anim laborum "
-    "ante aequor ager canto citra folia fugit gravis lapis lento modus mollis nostra nullus ovum pontus porta quas rerum rota saepe sero silva tellus umbra velim vinco vitae".split()
+    "reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa officia deserunt mollit anim laborum".split()
 )
 BULLET = re.compile(r"^[\s•»›>*\-–—·#]+")
 END = ".!?…;:"
@@ -86,21 +88,26 @@ def _any(parts: tuple[str, ...], low: str) -> bool:
 
 
 def _notice(s: str, low: str) -> bool:
-    return s[0] not in "“\"«„" and (_any(NOTICE, low) or _any(FILLER, low) or NUMBERED.match(low, 1) is not None)
+    return s[0] not in "“\"«„" and (_any(NOTICE, low) or _any(FILLER, low) or NUMBERED.match(low, 1) is not None or _any(STATES, low) and WEB.search(low) is not None)
 
 
 def _notices(s: str, low: str) -> bool:
     """Whether a line is a notice or filler: a long one if the sentences that are make up half of its words."""
     if len(s.split()) <= 25:
         return _notice(s, low)
-    if not (_any(NOTICE, low) or _any(FILLER, low) or _any(NUMBERED_WORDS, low)):
+    if not (_any(NOTICE, low) or _any(FILLER, low) or _any(NUMBERED_WORDS, low) or _any(STATES, low)):
         return False
     told = sum(len(x.split()) for x in SENTENCE.split(s) if x and _notice(x, " " + x.lower()))
     return 2 * told >= len(s.split())
 
 
-def _dummy(lower: list[str]) -> bool:
-    return len(lower) >= 4 and 2 * sum(w in DUMMY_WORDS for w in lower) >= len(lower)
+def _dummy(lower: list[str], ended: bool = False) -> bool:
+    """Dummy text: half of the words are those of the usual one, or a whole sentence has hardly any function word, which in prose make up a quarter."""
+    if len(lower) < 4:
+        return False
+    if 2 * sum(w in DUMMY_WORDS for w in lower) >= len(lower):
+        return True
+    return ended and len(lower) >= 8 and 10 * sum(w in FUNCTION_WORDS for w in lower) < len(lower)
 
 
 def weigh(text: str) -> tuple[int, int]:
@@ -115,10 +122,10 @@ def weigh(text: str) -> tuple[int, int]:
             continue
         opened = OPENERS.search(line) is not None
         ended = line.rstrip(CLOSING)[-1:] in END
-        if n > 25 and not opened and not fenced and ended and not FUNCTION_WORDS.isdisjoint(line.lower().split()):
+        if n > 25 and not opened and not fenced and ended:
             s = line.strip()
             low = " " + s.lower()
-            if _dummy(WORD.findall(low)) or _notices(s, low):
+            if _dummy(WORD.findall(low), True) or _notices(s, low):
                 residue += n
                 continue
             prose += n
@@ -146,7 +153,7 @@ def weigh(text: str) -> tuple[int, int]:
         lower = WORD.findall(low)
         if n <= 30 and (EMPTY_VALUE.fullmatch(s) or TECHNICAL.fullmatch(s)):
             residue += n
-        elif len(lower) >= 4 and len(set(lower)) <= max(2, len(lower) // 8) or _dummy(lower):
+        elif len(lower) >= 4 and len(set(lower)) <= max(2, len(lower) // 8) or _dummy(lower, ended):
             residue += n
         elif _notices(s, low):
             residue += n

@@ -71,3 +71,17 @@ def test_operator(spark):
     assert found == [*range(len(LEFTOVERS)), len(rows) - 1]
     assert keep_articles(items).count() == len(ARTICLES)
     assert find_leftovers(items.limit(0)).collect() == []
+
+
+def test_words_of_articles_are_no_notices():
+    assert not is_leftover("Maintenance of the harbour bridge begins on Monday.")
+    assert not is_leftover("The ferry will be unavailable.")
+    assert is_leftover("The site is under maintenance.")
+    assert is_leftover("This page needs scripts to be turned on before it can show you anything at all, so please change the settings of your browser to allow scripts for this site and then load the page again now.")
+
+
+def test_dummy_text_by_its_statistics():
+    """Words that no list knows, without function words between them."""
+    made = "Brunto velka soripa mendu falqua torbin lesca dumari, kelpo trinsa vomuni. Selta brunto garoni mendu vispa korlet denzo falqua lesca."
+    assert is_leftover(made) and is_leftover(made + "\n" + made)
+    assert not is_leftover("The council of the town has opened a new quay, and the union that asked for it is pleased with the plan.")
