@@ -5,39 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedmill.operators.simhash import similar_pairs
+from feedmill.operators.simhash import similar_prints
 from feedmill.session import materialise
 
 LEAST_WORDS, MOST_BITS = 120, 6
 
 
-def keep_first(members: DataFrame, pairs: DataFrame, rounds: int = 50) -> DataFrame:
+def keep_first(members: DataFrame) -> DataFrame:
     """``id, kept``: the rows, in the order of their ids, that conflict with no earlier kept row.
 
-    members: ``id, key``, rows with an equal key conflict; every row needs one key at least. pairs: ``later, earlier``, further conflicts.
-    Each round drops the undecided rows with an earlier kept neighbour and keeps those without an
-    undecided earlier one. Of a key only its first kept and its first undecided row matter, so equal keys cost two
-    grouped minima and no pairs. Each round is written to cut the lineage.
+    members: ``id, key, active``; rows with an equal key conflict, but only an ``active`` one is dropped for an earlier row of the key;
+    every row needs an active key. Each round drops the undecided rows with an earlier kept row in an active key and keeps those
+    without an earlier undecided one there. Of a key only its first kept and its first undecided row matter, so a
+    key costs two grouped minima and no pairs, however many rows it has. The first undecided row of all is decided in every
+    round, so the rounds end by themselves. Each is written to cut the lineage.
     """
     decided = None
-    members, pairs = materialise(members), materialise(pairs)
-    for _ in range(rounds):
-        state = members if decided is None else members.join(decided, "id", "left")
-        kept = F.lit(None).cast("boolean") if decided is None else F.col("kept")
-        state = state.withColumn("kept", kept)
+    members = materialise(members)
+    while True:
+        state = members.withColumn("kept", F.lit(None).cast("boolean")) if decided is None else members.join(decided, "id", "left")
         least = state.groupBy("key").agg(F.min(F.when(F.col("kept"), F.col("id"))).alias("first_kept"), F.min(F.when(F.col("kept").isNull(), F.col("id"))).alias("first_open"))
-        by_key = state.where("kept is null").join(least, "key").select("id", F.coalesce(F.col("first_kept") < F.col("id"), F.lit(False)).alias("beaten"), (F.col("first_open") < F.col("id")).alias("waiting"))
-        if decided is None:
-            by_pair = pairs.select(F.col("later").alias("id"), F.lit(False).alias("beaten"), F.lit(True).alias("waiting"))
-        else:
-            judged = pairs.join(decided.select(F.col("id").alias("earlier"), "kept"), "earlier", "left").join(decided.select(F.col("id").alias("later")), "later", "left_anti")
-            by_pair = judged.select(F.col("later").alias("id"), F.coalesce("kept", F.lit(False)).alias("beaten"), F.col("kept").isNull().alias("waiting"))
-        open_rows = by_key.unionByName(by_pair).groupBy("id").agg(F.max("beaten").alias("beaten"), F.max("waiting").alias("waiting"))
+        seen = state.where("kept is null and active").join(least, "key").select("id", F.coalesce(F.col("first_kept") < F.col("id"), F.lit(False)).alias("beaten"), (F.col("first_open") < F.col("id")).alias("waiting"))
+        open_rows = seen.groupBy("id").agg(F.max("beaten").alias("beaten"), F.max("waiting").alias("waiting"))
         new = materialise(open_rows.where("beaten or not waiting").select("id", (~F.col("beaten")).alias("kept")))
         if new.isEmpty():
             return decided if decided is not None else new
         decided = materialise(new if decided is None else decided.unionByName(new))
-    raise RuntimeError(f"conflicts go on after {rounds} rounds")
 
 
 def cascade(rows: DataFrame, dismissed: DataFrame | None = None) -> DataFrame:
@@ -53,7 +46,11 @@ def cascade(rows: DataFrame, dismissed: DataFrame | None = None) -> DataFrame:
     rows = materialise(rows.select("id", "url_key", "doi", "source_id", "title", "words", "simhash"))
     named = lambda c: F.nullif(F.col(c).cast("string"), F.lit(""))
     keys = F.array(F.concat(F.lit("i"), F.col("id").cast("string")), F.concat(F.lit("u"), named("url_key")), F.concat(F.lit("d"), named("doi")), F.concat(F.lit("t"), F.col("source_id").cast("string"), F.lit(" "), named("title")))
-    members = rows.select("id", F.explode(F.filter(keys, lambda k: k.isNotNull())).alias("key"))
-    near = similar_pairs(rows.select("id", "simhash"), MOST_BITS)
-    pairs = near.join(rows.where(F.col("words") >= LEAST_WORDS).select(F.col("id").alias("b")), "b", "left_semi").select(F.col("b").alias("later"), F.col("a").alias("earlier"))
-    return keep_first(members, pairs)
+    members = rows.select("id", F.explode(F.filter(keys, lambda k: k.isNotNull())).alias("key"), F.lit(True).alias("active"))
+    # rows of one fingerprint conflict with one another, and so do all rows of two similar ones: a key each, no pairs of rows
+    long = F.col("words") >= LEAST_WORDS
+    printed = rows.where("simhash <> 0").select("id", F.col("simhash").alias("f"), long.alias("active"))
+    equal = printed.select("id", F.concat(F.lit("f"), F.col("f").cast("string")).alias("key"), "active")
+    near = similar_prints(rows, MOST_BITS).select(F.explode(F.array("f", "g")).alias("f"), F.concat_ws(" ", F.lit("n"), "f", "g").alias("key"))
+    similar = printed.join(near, "f").select("id", "key", "active")
+    return keep_first(members.unionByName(equal).unionByName(similar))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -34,24 +35,30 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def _blocks(fingerprint: Column, most: int) -> Column:
-    """most + 1 blocks of bits; two fingerprints that differ in at most ``most`` bits agree in one of them."""
-    count = most + 1
+def _keys(fingerprint: Column, most: int, together: int) -> Column:
+    """Of most + ``together`` blocks of bits every ``together`` of them; two fingerprints that differ in at most ``most`` bits agree in one such choice."""
+    count = most + together
     edges = [round(64 * k / count) for k in range(count + 1)]
-    return F.array(*[F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(F.shiftleft(fingerprint, 64 - hi), 64 - hi + lo).alias("bits")) for k, (lo, hi) in enumerate(zip(edges, edges[1:]))])
+    blocks = [F.shiftrightunsigned(F.shiftleft(fingerprint, 64 - hi), 64 - hi + lo) for lo, hi in zip(edges, edges[1:])]
+    return F.array(*[F.xxhash64(F.lit(n), *[blocks[k] for k in chosen]) for n, chosen in enumerate(combinations(range(count), together))])
 
 
-def similar_pairs(prints: DataFrame, most: int, id_col: str = "id", print_col: str = "simhash") -> DataFrame:
-    """``a, b, distance`` of the ids a < b whose fingerprints, both neither 0 nor null, differ in at most ``most`` bits.
+def similar_prints(prints: DataFrame, most: int, print_col: str = "simhash", together: int = 2) -> DataFrame:
+    """``f, g, distance`` of the distinct fingerprints f < g, neither 0 nor null, that differ in 1 to ``most`` bits.
 
-    Equal fingerprints are gathered first, so that copies don't meet in every block; a block's bits must
-    agree exactly, which by counting misses no pair.
+    A choice of blocks must agree exactly, which by counting misses no pair. With two blocks of eight together a key has 16 bits; three of nine
+    have 21, for larger tables.
     """
+    distinct = prints.select(F.col(print_col).alias("f")).where("f is not null and f <> 0").distinct()
+    keyed = distinct.select("f", F.explode(_keys(F.col("f"), most, together)).alias("key"))
+    near = keyed.alias("x").join(keyed.alias("y"), "key").select(F.col("x.f").alias("f"), F.col("y.f").alias("g")).where("f < g")
+    return near.withColumn("distance", hamming(F.col("f"), F.col("g"))).where(F.col("distance") <= most).distinct()
+
+
+def similar_pairs(prints: DataFrame, most: int, id_col: str = "id", print_col: str = "simhash", together: int = 2) -> DataFrame:
+    """``a, b, distance`` of all ids a < b whose fingerprints differ in at most ``most`` bits, copies expanded; :func:`similar_prints` is the compact form, with the fingerprint as the class of copies."""
     own = prints.select(F.col(id_col).alias("id"), F.col(print_col).alias("f")).where("f is not null and f <> 0")
-    distinct = own.select("f").distinct()
-    blocked = distinct.select("f", F.explode(_blocks(F.col("f"), most)).alias("k")).select("f", "k.block", "k.bits")
-    near = blocked.alias("x").join(blocked.alias("y"), ["block", "bits"]).where(F.col("x.f") < F.col("y.f")).select(F.col("x.f").alias("f"), F.col("y.f").alias("g"))
-    near = near.where(hamming(F.col("f"), F.col("g")) <= most).distinct()
+    near = similar_prints(prints, most, print_col, together)
     same = own.alias("x").join(own.alias("y"), "f").where(F.col("x.id") < F.col("y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.lit(0).alias("distance"))
     other = near.join(own.select("f", F.col("id").alias("i")), "f").join(own.select(F.col("f").alias("g"), F.col("id").alias("j")), "g")
-    return same.unionByName(other.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), hamming(F.col("f"), F.col("g")).alias("distance")))
+    return same.unionByName(other.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "distance"))

@@ -213,7 +213,15 @@ def similar_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return simhash.similar_pairs(table(spark, d, "items"), 6)
 
 
-@query()
+# one row after the other, against the list of what is kept so far
+_CASCADE_SQL = f"""WITH RECURSIVE p AS ({ORACLE["simhash64"].replace("doc_id", "id").replace("documents", "items")}),
+ r AS MATERIALIZED (SELECT i.id, row_number() OVER (ORDER BY i.id) AS n, nullif(url_key, '') AS u, nullif(doi, '') AS d, source_id AS s, nullif(title, '') AS t, len(regexp_extract_all(coalesce(text, ''), '[^\\s]+')) AS words, nullif(p.simhash, 0) AS f FROM items i JOIN p ON p.id = i.id),
+ step AS (SELECT 0::BIGINT AS n, NULL::BIGINT AS id, true AS kept, [{{'u': NULL::VARCHAR, 'd': NULL::VARCHAR, 's': NULL::BIGINT, 't': NULL::VARCHAR, 'f': NULL::BIGINT}}] AS held
+ UNION ALL SELECT n, id, hit = 0, CASE WHEN hit = 0 THEN list_append(held, {{'u': u, 'd': d, 's': s, 't': t, 'f': f}}) ELSE held END FROM (SELECT r.*, step.held, len(list_filter(step.held, lambda k: coalesce(k.u = r.u, false) OR coalesce(k.d = r.d, false) OR coalesce(k.s = r.s AND k.t = r.t, false) OR coalesce(r.words >= 120 AND bit_count(xor(k.f, r.f)) <= 6, false))) AS hit FROM step JOIN r ON r.n = step.n + 1))
+ SELECT id, kept FROM step WHERE n > 0"""
+
+
+@query(_CASCADE_SQL)
 def dedup_cascade(spark: SparkSession, d: str) -> DataFrame:
     """Which items an ingest in the order of their ids would keep."""
     rows = spread(table(spark, d, "items")).select("id", "url_key", "doi", "source_id", "title", X.word_count(F.col("text")).alias("words"), F.coalesce(simhash.simhash64("text"), F.lit(0)).alias("simhash"))

@@ -26,14 +26,24 @@ def build_session(app: str = "feedmill", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+class NoSharedFolder(RuntimeError):
+    """``spark.checkpoint.dir`` isn't set, and the executors aren't on this machine."""
+
+
+_local: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a fresh local one where the setting is missing (tests, local mode)."""
+    """The folder in ``spark.checkpoint.dir``. In local mode a fresh one where the setting is missing; on a cluster that is an error, as each executor would write to its own disk."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given
-    made = tempfile.mkdtemp(prefix="feedmill-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise NoSharedFolder("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _local:
+        _local[context.applicationId] = tempfile.mkdtemp(prefix="feedmill-")
+    return _local[context.applicationId]
 
 
 def materialise(df: DataFrame) -> DataFrame:

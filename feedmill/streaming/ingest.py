@@ -40,19 +40,26 @@ def run_ingest(spark: SparkSession, path: str, out: str, checkpoint: str, files_
     raw_stream(spark, path, files_a_batch).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+#: Parts by the hash of the subscription, into which deliveries are written.
+PARTS = 64
+
+
 def deliver(offers: DataFrame, out: str, checkpoint: str) -> None:
     """Append the pairs (``subscription_id, item_id``) of a stream of offers that were not delivered before.
 
-    Each batch is anti-joined with what is written and lands in a directory of its own number, which a repeated batch overwrites:
-    a pair is delivered once, even after a failure.
+    What is written is kept by the hash of the subscription, and a batch is anti-joined only with the parts that it has offers for. It lands in a
+    directory of its own number, which a repeated batch overwrites: a pair is delivered once, even after a failure.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        pairs = batch.select("subscription_id", "item_id").distinct()
+        part = F.pmod(F.xxhash64("subscription_id"), F.lit(PARTS)).cast("int")
+        pairs = batch.select("subscription_id", "item_id").distinct().withColumn("part", part)
         if number:
-            done = spark.read.schema("subscription_id string, item_id bigint, batch int").option("basePath", out).parquet(out).where(F.col("batch") < number)
+            touched = [r["part"] for r in batch.select(part.alias("part")).distinct().collect()]  # at most PARTS numbers
+            done = spark.read.schema("subscription_id string, item_id bigint, batch int, part int").option("basePath", out).parquet(out)
+            done = done.where((F.col("batch") < number) & F.col("part").isin(touched)).select("subscription_id", "item_id")
             pairs = pairs.join(done, ["subscription_id", "item_id"], "left_anti")
-        pairs.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        pairs.write.mode("overwrite").partitionBy("part").parquet(f"{out}/batch={number}")
 
     offers.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
