@@ -175,8 +175,8 @@ def tag_map(tags: DataFrame) -> DataFrame:
 
 
 def _says(p: str) -> Column:
-    """Whether the lower-case haystack has the phrase as whole words; the plain search spares most rows the pattern."""
-    return F.contains(F.col("haystack"), F.lit(p.lower())) & X.phrase(F.col("haystack"), p)
+    """Whether the haystack has the phrase as whole words; the plain search spares most rows the pattern."""
+    return F.contains(F.lower("haystack"), F.lit(p.lower())) & X.phrase(F.col("haystack"), p)
 
 
 @dataclass(frozen=True)
