@@ -21,6 +21,8 @@ from feedmill.session import materialise
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 64, 4
+#: How far below their expectation the agreeing bits of a pair at the threshold may be.
+SIGMAS = 4.5
 _MIX1, _MIX2, _ROUND = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -164,7 +166,7 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str = "text", words:
     Rows with a null key, a null text, fewer than ``least_words`` words or fewer words than a run have no
     similar rows, but a class (``rest``). Equal sets are linked through one representative, so a text copied any number of times
     costs one row for each copy. A pair at the threshold is missed with probability (1 - threshold**rows)**bands
-    or where its bits agree by chance far less than they should (3.5 standard deviations).
+    or where its bits agree by chance far less than they should (SIGMAS standard deviations: one in 300,000 at the threshold, fewer above).
     """
     boxed = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).where("key is not null")
     kind = boxed.schema["key"].dataType.simpleString()
@@ -182,7 +184,7 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str = "text", words:
         candidates = candidates.join(bits.select(F.col("key").alias(side), F.col("bits").alias(f"bits_{side}")), side)
     bins = bands * rows
     expected = bins * (1 + threshold) / 2
-    least = expected - 3.5 * (bins * (1 + threshold) / 2 * (1 - threshold) / 2) ** 0.5
+    least = expected - SIGMAS * (bins * (1 + threshold) / 2 * (1 - threshold) / 2) ** 0.5
     likely = materialise(candidates.where(_agreeing(bins) >= F.lit(int(least))).select("a", "b"))
     # only texts that stand in a likely pair move
     needed = likely.select(F.explode(F.array("a", "b")).alias("key")).distinct()

@@ -14,7 +14,9 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _similar_items(spark: SparkSession, d: str) -> near_duplicates.NearDuplicates:
-    articles = residue.keep_articles(spread(table(spark, d, "items")).select("id", "text"))
+    items = spread(table(spark, d, "items")).select("id", "text")
+    # a leftover has no similar items, but a class of its own
+    articles = items.select("id", F.when(~residue.leftover(F.col("text")), F.col("text")).alias("text"))
     return near_duplicates.near_duplicates(articles, "id", words=3, threshold=0.5, least_words=60)
 
 
@@ -23,8 +25,13 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_classes(spark: SparkSession, d: str) -> DataFrame:
-    """Each item's class of equal texts and its number of links to other classes, by runs of five words and a similarity of 0.8."""
-    return near_duplicates.near_duplicates(spread(table(spark, d, "items")), "id").classes().withColumnRenamed("key", "item_id")
+    """The compact form of p2_found: each item's class of equal texts and its number of links to other classes."""
+    return _similar_items(spark, d).classes().withColumnRenamed("key", "item_id")
+
+
+def p2_links(spark: SparkSession, d: str) -> DataFrame:
+    """The links of p2_found between the classes' representatives, with their similarity."""
+    return _similar_items(spark, d).links.select(F.col("a").alias("item_a"), F.col("b").alias("item_b"), F.round("similarity", 6).alias("similarity"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -88,7 +95,7 @@ def p10_margins(spark: SparkSession, d: str) -> DataFrame:
     return garbled.margins_of(spread(table(spark, d, "documents")))
 
 
-QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p1_found": p1_found, "p4_found": p4_found, "p4_cleaned": p4_cleaned, "p10_found": p10_found, "p10_restored": p10_restored, "p10_margins": p10_margins, "p5_found": p5_found, "p6_found": p6_found, "p6_main_text": p6_main_text, "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_packed": p9_packed}
+QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p2_links": p2_links, "p1_found": p1_found, "p4_found": p4_found, "p4_cleaned": p4_cleaned, "p10_found": p10_found, "p10_restored": p10_restored, "p10_margins": p10_margins, "p5_found": p5_found, "p6_found": p6_found, "p6_main_text": p6_main_text, "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_packed": p9_packed}
 ORACLE = {
     "p4_found": """WITH x AS (SELECT DISTINCT id, source_id, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[ \\t\\r]+', ' ', 'g')) AS line FROM (SELECT id, source_id, unnest(string_split(text, chr(10))) AS line FROM items WHERE source_id IS NOT NULL)),
  t AS (SELECT source_id, count(*) AS total FROM items WHERE source_id IS NOT NULL GROUP BY source_id)
