@@ -116,7 +116,8 @@ def seed_phrases(description: Column) -> Column:
 
 def tidy_names(names: Column, most: int = 14) -> Column:
     """Names without outer punctuation and closing brackets, in lower case, of 3 to 40 characters and at most five words, each once."""
-    plain = F.transform(names, lambda n: F.trim(F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(F.lower(n), r"\s+", " ")), r"^[\"'`*_.,;:]+|[\"'`*_.,;:]+$", ""), r"\s*\(.*?\)\s*$", "")))
+    bare = lambda n: F.trim(F.regexp_replace(n, r"^[\"'`*_.,;:\s]+|[\"'`*_.,;:\s]+$", ""))
+    plain = F.transform(names, lambda n: bare(F.regexp_replace(bare(F.regexp_replace(F.lower(n), r"\s+", " ")), r"\s*\([^()]*\)$", "")))
     return F.slice(F.array_distinct(F.filter(plain, lambda n: F.length(n).between(3, 40) & (F.size(F.split(n, " ")) <= 5))), 1, most)
 
 
