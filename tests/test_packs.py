@@ -96,7 +96,7 @@ def test_answers(spark):
     assert f(A.looks_like_reasoning(t, lang), t="Okay, the user wants", l="en") and not f(A.looks_like_reasoning(t, lang), t="Solid work.", l="en")
     assert f(A.looks_like_reasoning(t, lang), t="plain words " * 20, l="el") and not f(A.looks_like_reasoning(t, lang), t="λέξη " * 40, l="el")
     assert f(A.length_in_words(t, lang), t="字" * 16, l="zh") == 10 and f(A.truncate_words(t, 2), t="a b c") == "a b […]"
-    assert [f(A.stance_conflict(F.col("c"), F.lit(s), F.lit(a), F.lit(n)), c=c) for c, s, a, n in (("buy", 0, 2, 2), ("sell", 2, 0, 2), ("hold", 0, 9, 9), ("buy", 0, 0, 0))] == ["conflict", "conflict", "", "unsupported"]
+    assert [f(A.stance_conflict(F.col("q"), F.lit(s), F.lit(a), F.lit(n)), q=q) for q, s, a, n in (("buy", 0, 2, 2), ("sell", 2, 0, 2), ("hold", 0, 9, 9), ("buy", 0, 0, 0))] == ["conflict", "conflict", "", "unsupported"]
     assert f(A.cited(F.col("a"), F.col("b")), a=["3", "1", "3", "9"], b=["1", "3"]) == ["3", "1"]
     assert f(A.clean_terms(F.col("a"), ("x", "y")), a=["y", "z", "x", "y"]) == ["y", "x"]
 
