@@ -21,7 +21,10 @@ from pyspark.sql import functions as F
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the rank file's vocabulary splits text before its merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-ROWS_PER_BLOCK = 4096
+#: Bounds of a block: documents, and characters in the mean.
+ROWS_PER_BLOCK, CHARS_PER_BLOCK = 4096, 1 << 25
+#: Blocks whose common words come together; with more blocks, a word that stands in all of them is encoded once for each so many.
+BLOCKS_PER_WORD = 4096
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -81,13 +84,15 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Null and empty texts have no ids (an empty list). Repeated rows stay repeated; other columns are
     ignored. ``ranks``: a rank file that every executor can read.
     """
-    blocks = max(1, math.ceil(docs.count() / rows_per_block))
+    size = docs.agg(F.count("*").alias("n"), F.sum(F.length(text_col)).alias("chars")).first()
+    blocks = max(1, math.ceil(size["n"] / rows_per_block), math.ceil((size["chars"] or 0) / CHARS_PER_BLOCK))
     id_type = docs.schema[id_col].dataType.simpleString()
     keyed = docs.select(F.pmod(F.xxhash64(F.col(id_col), F.length(text_col)), F.lit(blocks)).cast("int").alias("block"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # texts move once; both uses below read the same shuffle and split the words behind it
     split = keyed.repartition("block").select("block", "id", split_words(F.col("text")).alias("words"))
     words = split.select("block", F.explode(F.array_distinct("words")).alias("word")).distinct()
-    encoded = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_words(ranks), "block int, word string, ids array<int>")
+    # by the word and the block's group, so that no word has more rows than BLOCKS_PER_WORD in one place
+    encoded = words.repartition("word", F.floor(F.col("block") / BLOCKS_PER_WORD)).sortWithinPartitions("word").mapInArrow(_encode_words(ranks), "block int, word string, ids array<int>")
     result = f"id {id_type}, n_tokens bigint" if counts else f"id {id_type}, ids array<int>"
     done = split.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(_replace(counts), result)
     return done.withColumnRenamed("id", id_col)
