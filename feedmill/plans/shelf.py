@@ -461,3 +461,30 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
 def topic_recall(spark: SparkSession, d: str) -> DataFrame:
     """Items near to a topic's by their vectors that no word of its rule named; a judge must admit them."""
     return digest.recall(_routed(spark, d).select("topic", "id"), _vectors(spark, d), 60, 0.1).select("topic", "id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {_ROWS_SQL}, {_TAGS_SQL}, {_READS_SQL}, page AS (SELECT id, title, seen_at, tags FROM rows WHERE coalesce(enrich_state, '') <> 'skipped' ORDER BY seen_at DESC, id LIMIT 30)
+ SELECT page.id, title, read_at IS NULL AS unread, coalesce(CASE WHEN json_valid(page.tags) THEN from_json(page.tags, '["VARCHAR"]') END, []) AS source_tags, coalesce(list_sort(list(term) FILTER (facet = 'theme')), []) AS themes, coalesce(list_sort(list(term) FILTER (facet = 'region')), []) AS regions
+ FROM page LEFT JOIN tags t ON t.id = page.id LEFT JOIN reads ON reads.id = page.id GROUP BY ALL""")
+def hydrated_page(spark: SparkSession, d: str) -> DataFrame:
+    """A page of items with their tags by facet, the source's tags and whether they are unread."""
+    page = _rows(spark, d).where(feed.Filter.read({}).condition()).select("id", "title", "seen_at", "source_tags").orderBy(F.desc("seen_at"), "id").limit(30)
+    tags = feed.tag_map(_tags(spark, d).join(page.select("id"), "id", "left_semi"))
+    none = F.array().cast("array<string>")
+    made = page.join(tags, "id", "left").join(_reads(spark, d), "id", "left")
+    return made.select("id", "title", F.col("read_at").isNull().alias("unread"), F.coalesce("source_tags", none).alias("source_tags"), *[F.array_sort(F.coalesce(F.col("tags")[f], none)).alias(key) for f, key in feed.FACET_KEYS.items()])
+
+
+@query(f"""WITH {_READS_SQL} SELECT i.id, i.url, coalesce(nullif(e.headline, ''), i.title) AS title, i.text, s.name AS source FROM items i LEFT JOIN sources s ON s.id = i.source_id LEFT JOIN enrichment e ON e.item_id = i.id WHERE i.id = 42""")
+def point_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """One item with its whole text."""
+    return _rows(spark, d).where("id = 42").select("id", "url", F.coalesce(F.nullif("headline", F.lit("")), "title").alias("title"), "text", "source")
+
+
+@query(f"""WITH {_READS_SQL} SELECT (SELECT count(*) FROM items) AS items, (SELECT count(*) FROM items WHERE id NOT IN (SELECT id FROM reads)) AS unread, (SELECT count(*) FROM items WHERE fetched_at >= TIMESTAMP '2025-06-02') AS fresh, (SELECT count(*) FROM sources WHERE enabled AND error_streak < 3) AS healthy""")
+def health(spark: SparkSession, d: str) -> DataFrame:
+    """Scalar counts of the whole state."""
+    items = table(spark, d, "items").select("id", "fetched_at").join(_reads(spark, d).withColumn("read", F.lit(1)), "id", "left")
+    counts = items.agg(F.count("*").alias("items"), F.count_if(F.col("read").isNull()).alias("unread"), F.count_if(F.col("fetched_at") >= F.lit("2025-06-02").cast("timestamp")).alias("fresh"), F.lit(1).alias("k"))
+    sources = table(spark, d, "sources").agg(F.count_if(F.col("enabled") & (F.col("error_streak") < 3)).alias("healthy"), F.lit(1).alias("k"))
+    return counts.join(sources, "k").drop("k")

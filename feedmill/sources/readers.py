@@ -9,7 +9,7 @@ from feedmill.functions import text as X
 
 RSS_ITEM = "title string, link string, description string, `content:encoded` string, author string, pubDate string, guid string"
 ENVELOPE = "items array<struct<id: string, url: string, title: string, published_at: string, renditions: struct<headline: struct<text: string>, brief: struct<text: string>, abstract: struct<text: string>>>>"
-ARTICLES = "results array<struct<id: string, doi: string, title: string, publication_date: string, cited_by_count: bigint, abstract_inverted_index: map<string, array<int>>>>"
+ARTICLES = "results array<struct<id: string, doi: string, title: string, publication_date: string, type: string, cited_by_count: bigint, concepts: array<struct<display_name: string>>, abstract_inverted_index: map<string, array<int>>>>"
 
 
 def read_rss(spark: SparkSession, path: str, source_id: int | None = None) -> DataFrame:
@@ -28,10 +28,14 @@ def text_of_index(index: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(placed), lambda p: p["word"]), " ")
 
 
-def read_articles(spark: SparkSession, path: str) -> DataFrame:
-    """Raw items of an article service's JSON pages, abstracts given as an index of words."""
+def read_articles(spark: SparkSession, path: str, min_citations: int = 0, concepts: tuple[str, ...] = (), kind: str | None = None) -> DataFrame:
+    """Raw items of an article service's JSON pages, abstracts given as an index of words; narrowed to a kind, to any of some concepts and by citations."""
     pages = spark.read.schema(ARTICLES).option("multiLine", True).json(path)
-    rows = pages.select(F.explode("results").alias("r"))
+    rows = pages.select(F.explode("results").alias("r")).where(F.coalesce("r.cited_by_count", F.lit(0)) >= min_citations)
+    if kind:
+        rows = rows.where(F.col("r.type") == kind)
+    if concepts:
+        rows = rows.where(F.arrays_overlap(F.transform("r.concepts.display_name", F.lower), F.array(*[F.lit(c.lower()) for c in concepts])))
     return rows.select(X.first_text(F.col("r.doi"), F.col("r.id")).alias("url"), "r.title", F.col("r.publication_date").alias("published_at"), text_of_index(F.col("r.abstract_inverted_index")).alias("excerpt"), X.find_doi(F.col("r.doi")).alias("doi"), F.to_json(F.struct(F.col("r.cited_by_count").alias("citations"))).alias("meta"))
 
 

@@ -173,3 +173,28 @@ def test_filters(spark):
     assert apply(starred=True) == {1} and apply(archived=True) == {2} and apply(collection="c", archived=True) == {2} and apply(entities=["Sea_Farms"]) == {1} and apply(off_topic="include") == {1, 3}
     with pytest.raises(feed.UnknownFilter):
         feed.Filter.read({"last_days": 3}).condition()
+
+
+def test_envelopes_as_a_source(spark, tmp_path):
+    from feedmill.sources.envelopes import EnvelopeSource
+
+    (tmp_path / "a.json").write_text(json.dumps({"items": [{"id": "1", "url": "https://a.example/1", "renditions": {"brief": {"text": "b"}}}, {"id": "2"}]}))
+    (tmp_path / "b.json").write_text("{")
+    spark.dataSource.register(EnvelopeSource)
+    rows = spark.read.format("envelopes").load(str(tmp_path)).collect()
+    assert [(r.file, r.id, r.brief, r.headline) for r in rows] == [("a.json", "1", "b", None)]
+
+
+def test_stages_are_isolated(spark):
+    from feedmill.plans.run import run_stages
+
+    done = {}
+    log = run_stages(spark, {"a": lambda s: s.range(3), "b": lambda s: 1 / 0, "c": lambda s: s.range(2)}, lambda name, df: done.update({name: df.count()})).collect()
+    assert done == {"a": 3, "c": 2} and [(r.stage, r.ok) for r in log] == [("a", True), ("b", False), ("c", True)] and "ZeroDivisionError" in log[1].error
+
+
+def test_article_filters(spark, tmp_path):
+    page = {"results": [{"id": "1", "title": "A", "type": "article", "cited_by_count": 5, "concepts": [{"display_name": "Fish"}]}, {"id": "2", "title": "B", "type": "book", "cited_by_count": 9, "concepts": []}]}
+    (tmp_path / "p.json").write_text(json.dumps(page))
+    read = lambda **f: [r.title for r in readers.read_articles(spark, str(tmp_path / "p.json"), **f).orderBy("title").collect()]
+    assert read() == ["A", "B"] and read(min_citations=6) == ["B"] and read(concepts=("fish",)) == ["A"] and read(kind="book") == ["B"]
