@@ -115,6 +115,10 @@ def weigh(text: str) -> tuple[int, int]:
     residue = prose = 0
     fenced = False
     most = len(text.split()) // 2
+    # lines are only asked for parts that the text has at all
+    flat = " " + text.lower().replace("\n", " ")
+    told = _any(NOTICE, flat) or _any(FILLER, flat) or _any(STATES, flat) or _any(NUMBERED_WORDS, flat)
+    furnished = _any(FURNITURE, flat)
     for line in text.split("\n"):
         words = line.split()
         n = len(words)
@@ -125,7 +129,9 @@ def weigh(text: str) -> tuple[int, int]:
         if n > 25 and not opened and not fenced and ended:
             s = line.strip()
             low = " " + s.lower()
-            if _dummy(WORD.findall(low), True) or _notices(s, low):
+            # prose has a function word in four; only a line with few of them is looked at word by word
+            small = sum(map(FUNCTION_WORDS.__contains__, low.split()))
+            if 6 * small < n and _dummy(WORD.findall(low), True) or told and _notices(s, low):
                 residue += n
                 continue
             prose += n
@@ -155,9 +161,9 @@ def weigh(text: str) -> tuple[int, int]:
             residue += n
         elif len(lower) >= 4 and len(set(lower)) <= max(2, len(lower) // 8) or _dummy(lower, ended):
             residue += n
-        elif _notices(s, low):
+        elif told and _notices(s, low):
             residue += n
-        elif n >= 5 and ended and not FUNCTION_WORDS.isdisjoint(lower) and not _any(FURNITURE, low):
+        elif n >= 5 and ended and not FUNCTION_WORDS.isdisjoint(lower) and not (furnished and _any(FURNITURE, low)):
             prose += n
     return residue, prose
 
