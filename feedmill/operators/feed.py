@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,18 +29,18 @@ def tag(docs: DataFrame, terms, id_col: str = "id", text_col: str = "text") -> D
     for facet, term, names in terms:
         for alias in names:
             meant.setdefault(alias.lower(), []).append((facet, term))
-    text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    # a look-ahead at every word start, so that neighbouring and overlapping hits all count; by number of words, as at one place only one alias of a length can stand
-    found = []
-    for length in (1, 2):
-        known = [a.split(" ") for a in meant if len(a.split(" ")) == length]
-        if known:
-            spelled = "|".join(f"{_NOT_WORD}+".join(re.escape(w) for w in ws) for ws in sorted(known))
-            hits = F.regexp_extract_all(text, F.lit(f"(?<!{_IN_WORD})(?=({spelled})(?!{_IN_WORD}))"), F.lit(1))
-            found.append(hits if length == 1 else F.transform(hits, lambda h: F.regexp_replace(h, f"{_NOT_WORD}+", " ")))
-    named = docs.select(F.col(id_col).alias("id"), F.explode(F.concat(*found) if found else F.array().cast("array<string>")).alias("alias"))
+    lower = docs.select(F.col(id_col).alias("id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
+    counted = []
+    for alias in meant:
+        words = alias.split(" ")
+        # the plain search spares most texts the pattern; a look-ahead, so that overlapping hits all count
+        has = reduce(Column.__and__, [F.contains("text", F.lit(w)) for w in words])
+        whole = f"(?<!{_IN_WORD})(?={f'{_NOT_WORD}+'.join(re.escape(w) for w in words)}(?!{_IN_WORD}))"
+        counted.append(F.struct(F.lit(alias).alias("alias"), F.when(has, F.regexp_count("text", F.lit(whole))).otherwise(0).alias("n")))
+    none = F.array().cast("array<struct<alias:string,n:int>>")
+    named = lower.select("id", F.explode(F.array(*counted) if counted else none).alias("h")).where("h.n > 0")
     each = F.create_map(*[x for alias, ts in meant.items() for x in (F.lit(alias), F.array(*[F.struct(F.lit(f).alias("facet"), F.lit(t).alias("term")) for f, t in ts]))])
-    hits = named.groupBy("id", "alias").agg(F.count("*").alias("n")).select("id", "n", F.explode(each[F.col("alias")]).alias("t")).groupBy("id", "t.facet", "t.term").agg(F.sum("n").alias("hits"))
+    hits = named.select("id", "h.n", F.explode(each[F.col("h.alias")]).alias("t")).groupBy("id", "t.facet", "t.term").agg(F.sum("n").alias("hits"))
     return hits.select(F.col("id").alias(id_col), "facet", "term", "hits", F.least(F.lit(1.0), F.round(0.35 + 0.15 * F.col("hits"), 2)).alias("score"))
 
 
