@@ -51,7 +51,8 @@ def similar_prints(prints: DataFrame, most: int, print_col: str = "simhash", tog
     """
     distinct = prints.select(F.col(print_col).alias("f")).where("f is not null and f <> 0").distinct()
     keyed = distinct.select("f", F.explode(_keys(F.col("f"), most, together)).alias("key"))
-    near = keyed.alias("x").join(keyed.alias("y"), "key").select(F.col("x.f").alias("f"), F.col("y.f").alias("g")).where("f < g")
+    # Spark sizes the keys as one row for each fingerprint and would broadcast tens of times its threshold
+    near = keyed.alias("x").hint("merge").join(keyed.alias("y"), "key").select(F.col("x.f").alias("f"), F.col("y.f").alias("g")).where("f < g")
     return near.withColumn("distance", hamming(F.col("f"), F.col("g"))).where(F.col("distance") <= most).distinct()
 
 

@@ -72,6 +72,15 @@ def test_blocks_miss_no_pair(spark):
     assert {(r.a, r.b) for r in simhash.similar_pairs(rows, 6).collect()} == want
 
 
+def test_keys_are_not_broadcast(spark, tmp_path):
+    """A fingerprint has tens of keys, of which Spark's estimate knows one; broadcast, they filled the driver."""
+    spark.range(1, 2000).select("id", F.xxhash64("id").alias("simhash")).write.parquet(str(tmp_path / "prints"))
+    near = simhash.similar_prints(spark.read.parquet(str(tmp_path / "prints")), 6)
+    near.collect()
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_cascade_is_the_sequential_one(spark):
     import random
 
