@@ -18,12 +18,13 @@ def keep_first(members: DataFrame) -> DataFrame:
     every row needs an active key. Each round drops the undecided rows with an earlier kept row in an active key and keeps those
     without an earlier undecided one there. Of a key only its first kept and its first undecided row matter, so a
     key costs two grouped minima and no pairs, however many rows it has. The first undecided row of all is decided in every
-    round, so the rounds end by themselves. Each is written to cut the lineage.
+    round, so the rounds end by themselves. Each is written to cut the lineage. What is decided grows with the corpus and is tiny
+    as Parquet, so it is never broadcast.
     """
     decided = None
     members = materialise(members)
     while True:
-        state = members.withColumn("kept", F.lit(None).cast("boolean")) if decided is None else members.join(decided, "id", "left")
+        state = members.withColumn("kept", F.lit(None).cast("boolean")) if decided is None else members.join(decided.hint("merge"), "id", "left")
         least = state.groupBy("key").agg(F.min(F.when(F.col("kept"), F.col("id"))).alias("first_kept"), F.min(F.when(F.col("kept").isNull(), F.col("id"))).alias("first_open"))
         seen = state.where("kept is null and active").join(least, "key").select("id", F.coalesce(F.col("first_kept") < F.col("id"), F.lit(False)).alias("beaten"), (F.col("first_open") < F.col("id")).alias("waiting"))
         open_rows = seen.groupBy("id").agg(F.max("beaten").alias("beaten"), F.max("waiting").alias("waiting"))
@@ -52,5 +53,5 @@ def cascade(rows: DataFrame, dismissed: DataFrame | None = None) -> DataFrame:
     printed = rows.where("simhash <> 0").select("id", F.col("simhash").alias("f"), long.alias("active"))
     equal = printed.select("id", F.concat(F.lit("f"), F.col("f").cast("string")).alias("key"), "active")
     near = similar_prints(rows, MOST_BITS).select(F.explode(F.array("f", "g")).alias("f"), F.concat_ws(" ", F.lit("n"), "f", "g").alias("key"))
-    similar = printed.join(near, "f").select("id", "key", "active")
+    similar = printed.join(near.hint("merge"), "f").select("id", "key", "active")
     return keep_first(members.unionByName(equal).unionByName(similar))

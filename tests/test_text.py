@@ -81,6 +81,21 @@ def test_keys_are_not_broadcast(spark, tmp_path):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_decided_rows_are_not_broadcast(spark, monkeypatch):
+    """Millions of decided rows are a few MB of Parquet; nothing of the cascade that is joined by id or fingerprint goes through the driver."""
+    written, plans = dedup.materialise, []
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df)
+
+    monkeypatch.setattr(dedup, "materialise", kept)
+    frame = spark.createDataFrame([(k, f"u{k // 2}", None, 1, None, 150, k) for k in range(1, 9)], "id long, url_key string, doi string, source_id long, title string, words int, simhash long")
+    dedup.cascade(frame).collect()
+    assert any("LeftOuter" in plan for plan in plans)
+    assert not [line for plan in plans for line in plan.split("\n") if "BroadcastHashJoin [id" in line or "BroadcastHashJoin [f" in line]
+
+
 def test_cascade_is_the_sequential_one(spark):
     import random
 
