@@ -16,8 +16,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 def _similar_items(spark: SparkSession, d: str) -> near_duplicates.NearDuplicates:
     items = spread(table(spark, d, "items")).select("id", "text")
     # a leftover has no similar items, but a class of its own
-    articles = items.select("id", F.when(~residue.leftover(F.col("text")), F.col("text")).alias("text"))
-    return near_duplicates.near_duplicates(articles, "id", words=3, threshold=0.5, least_words=60)
+    return near_duplicates.near_duplicates(items, "id", words=3, threshold=0.5, least_words=60, without=residue.leftover(F.col("text")))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

@@ -3,8 +3,11 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from feedmill.llm import registry
 from feedmill.llm.near_duplicates import near_duplicates, sketch
 
 WORDS = [f"w{k}" for k in range(400)]
@@ -64,6 +67,28 @@ def test_every_row_has_a_class(spark):
     assert {r.key: r.representative for r in found.classes().collect()} == {k: {2: 1, 8: 7}.get(k, k) for k, _ in rows}
 
 
+def test_leftovers_are_looked_for_once(spark, tmp_path, monkeypatch):
+    """p2's costly look for leftovers was run again over all items when the texts of the likely pairs were fetched."""
+    asked = spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        @F.pandas_udf("boolean")
+        def run(texts: pd.Series) -> pd.Series:
+            asked.add(len(texts))
+            return texts.map(lambda t: bool(t) and t.startswith("error"))
+
+        return run(text)
+
+    monkeypatch.setattr(registry.residue, "leftover", counted)
+    text = " ".join(WORDS[:80])
+    rows = [(1, text), (2, text + " more"), (3, "error " + text), (4, "error " + text + " more"), (5, None), (6, text + " else")]
+    spark.createDataFrame(rows, "id long, text string").coalesce(1).write.parquet(str(tmp_path / "items.parquet"))
+    found = registry._similar_items(spark, str(tmp_path))
+    assert {(r.a, r.b) for r in found.pairs().collect()} == {(1, 2), (1, 6), (2, 6)}
+    assert {r.key: r.representative for r in found.classes().collect()} == {k: k for k in range(1, 7)}
+    assert asked.value == len(rows)
+
+
 def test_sketch_fills_and_estimates():
     rng = np.random.default_rng(0)
     one = sketch(np.array([7], dtype=np.uint64), 256)
